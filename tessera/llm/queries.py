@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, shard
+from tessera.llm import bpe, decontam, knn, langid, lines, shard, wordpiece
 
 QUERIES = {
+    "op1_voronoi_topk": knn.op1_voronoi_topk,
+    "op3_template_decontamination": decontam.op3_template_decontamination,
     "op5_hypergeometric_shards": shard.op5_hypergeometric_shards,
+    "op6_language_spans": langid.op6_language_spans,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_wordpiece_lengths": wordpiece.op8_wordpiece_lengths,
+    "op9_bloom_line_dedup": lines.op9_bloom_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_voronoi_topk": knn.OP1_SQL,
+    "op9_bloom_line_dedup": lines.OP9_SQL,
+}

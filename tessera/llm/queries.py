@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontam, knn, langid, lines, shard, wordpiece
+from tessera.llm import bpe, decontam, knn, langid, lines, pii, shard, wordpiece
 
 QUERIES = {
     "op1_voronoi_topk": knn.op1_voronoi_topk,
+    "op2_bootstrapped_pii": pii.op2_bootstrapped_pii,
     "op3_template_decontamination": decontam.op3_template_decontamination,
     "op5_hypergeometric_shards": shard.op5_hypergeometric_shards,
     "op6_language_spans": langid.op6_language_spans,

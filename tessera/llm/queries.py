@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontam, knn, langid, lines, pii, shard, wordpiece
+from tessera.llm import bpe, decontam, jaccard, knn, langid, lines, pii, shard, wordpiece
 
 QUERIES = {
     "op1_voronoi_topk": knn.op1_voronoi_topk,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_wordpiece_lengths": wordpiece.op8_wordpiece_lengths,
     "op9_bloom_line_dedup": lines.op9_bloom_line_dedup,
+    "op10_multi_order_jaccard": jaccard.op10_multi_order_jaccard,
 }
 
 ORACLE_SQL = {

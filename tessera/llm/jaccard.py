@@ -50,8 +50,12 @@ def needed(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def _batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np.ndarray, batch: int, buckets: int):
-    """The rows a batch of texts sends: (bucket, kind, batch, payload)."""
+def batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np.ndarray, batch: int, buckets: int, sigs: np.ndarray | None = None):
+    """The rows a batch of texts sends: (bucket, kind, batch, payload).
+
+    ``token`` are the distinct 48-bit tokens of each text. Texts of one class count once for a token: with ``sigs``
+    those with equal values, otherwise those with equal sets, of which only the first of the batch sends.
+    """
     docs = len(ids)
     n = np.bincount(owner, minlength=docs)
     at = np.cumsum(n) - n
@@ -61,6 +65,8 @@ def _batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np
         with np.errstate(over="ignore"):
             sums.append(_text.mix(total[at + n] - total[at] + n.astype(np.uint64)))
     # of texts with one set, the first sends
+    if sigs is not None:
+        sums = [sigs, _text.mix(ids.view(np.uint64) ^ np.arange(docs, dtype=np.uint64))]
     order = np.lexsort((np.arange(docs), sums[1], sums[0]))
     same = np.concatenate([[False], (sums[0][order][1:] == sums[0][order][:-1]) & (sums[1][order][1:] == sums[1][order][:-1])]) if docs else np.zeros(0, bool)
     sends = np.ones(docs, bool)
@@ -98,7 +104,7 @@ def _send(docs: DataFrame, buckets: int, words: int) -> DataFrame:
                 token = np.concatenate([p[1] for p in parts])
                 stamp = b.column(2)[lo].as_py()
                 digest = hashlib.blake2b(ids[lo:hi].tobytes() + cut.tobytes() + stamp.to_bytes(8, "little", signed=True), digest_size=8).digest()
-                rows = list(_batch_rows(ids[lo:hi], valid[lo:hi], owner, token, int.from_bytes(digest, "little") >> 1, buckets))
+                rows = list(batch_rows(ids[lo:hi], valid[lo:hi], owner, token, int.from_bytes(digest, "little") >> 1, buckets))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                     ["bucket", "kind", "batch", "payload"],
@@ -108,7 +114,7 @@ def _send(docs: DataFrame, buckets: int, words: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, kind int, batch long, payload binary")
 
 
-def _count(group: pd.DataFrame) -> pd.DataFrame:
+def count_classes(group: pd.DataFrame) -> pd.DataFrame:
     """Return to each batch its shingles that are in two classes or more, with the number of classes (255 at most)."""
     passed = group[group["kind"] != PART]
     own = group[group["kind"] == PART]
@@ -146,21 +152,27 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).astype({"bucket": "int32", "kind": "int32", "batch": "int64"})
 
 
+def gathered(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(meta planes, keys, classes by key) of what came back to a batch; a key is a token and its text's index."""
+    meta = np.frombuffer(group.loc[group["kind"] == META, "payload"].iloc[0], np.uint64).reshape(6, -1)
+    keys, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for p in group.loc[group["kind"] == PART].sort_values("bucket")["payload"]:
+        k = int(np.frombuffer(p, np.uint64, 1)[0])
+        dfs.append(np.frombuffer(p, np.uint8, k, 8))
+        keys.append(_unplanes(p[8 + k :], k))
+    keys, dfs = np.concatenate(keys), np.concatenate(dfs)
+    for p in group.loc[group["kind"] == HELD, "payload"]:
+        held = _unplanes(p, len(p) // 8)
+        at = np.searchsorted(keys >> np.uint64(OWNER_BITS), held >> np.uint64(OWNER_BITS))
+        keys, dfs = np.concatenate([keys, held]), np.concatenate([dfs, dfs[at]])
+    return meta, keys, dfs
+
+
 def _gather(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """(doc_id, node, check, n, tokens, dfs) of a batch's texts; tokens only where enough of them are shared."""
-        meta = np.frombuffer(group.loc[group["kind"] == META, "payload"].iloc[0], np.uint64).reshape(6, -1)
+        """(doc_id, node, n, tokens, dfs) of a batch's texts; tokens only where enough of them are shared."""
+        meta, keys, dfs = gathered(group)
         ids, n, sends = meta[0].view(np.int64), meta[1].astype(np.int64), meta[4].astype(bool)
-        keys, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        for p in group.loc[group["kind"] == PART].sort_values("bucket")["payload"]:
-            k = int(np.frombuffer(p, np.uint64, 1)[0])
-            dfs.append(np.frombuffer(p, np.uint8, k, 8))
-            keys.append(_unplanes(p[8 + k :], k))
-        keys, dfs = np.concatenate(keys), np.concatenate(dfs)
-        for p in group.loc[group["kind"] == HELD, "payload"]:
-            held = _unplanes(p, len(p) // 8)
-            at = np.searchsorted(keys >> np.uint64(OWNER_BITS), held >> np.uint64(OWNER_BITS))
-            keys, dfs = np.concatenate([keys, held]), np.concatenate([dfs, dfs[at]])
         owner = (keys & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64)
         shared = np.bincount(owner, minlength=len(ids))
         alive = sends & (n > 0) & (shared >= needed(n, percent))
@@ -334,7 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, math.ceil(total / BUCKET_BYTES))
     sent = _send(docs, buckets, words)
-    returned = sent.groupBy("bucket").applyInPandas(_count, sent.schema)
+    returned = sent.groupBy("bucket").applyInPandas(count_classes, sent.schema)
     table = stored(returned.groupBy("batch").applyInPandas(_gather(percent), "doc_id long, node long, n long, tokens binary, dfs binary"))
 
     alive = table.where(F.col("tokens").isNotNull()).groupBy("node").agg(F.min_by(F.struct("n", "tokens", "dfs"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))

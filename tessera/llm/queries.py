@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontam, jaccard, knn, langid, lines, pii, shard, wordpiece
+from tessera.llm import bpe, decontam, jaccard, knn, langid, lines, pii, shard, suffix, wordpiece
 
 QUERIES = {
     "op1_voronoi_topk": knn.op1_voronoi_topk,
     "op2_bootstrapped_pii": pii.op2_bootstrapped_pii,
     "op3_template_decontamination": decontam.op3_template_decontamination,
+    "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
     "op5_hypergeometric_shards": shard.op5_hypergeometric_shards,
     "op6_language_spans": langid.op6_language_spans,
     "op7_byte_bpe": bpe.op7_byte_bpe,

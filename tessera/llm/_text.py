@@ -1,7 +1,7 @@
 """Vectorised kernels over the byte buffers of Arrow string columns.
 
 Texts never become Python strings here: a record batch's data buffer is viewed as ``uint8`` and all work is numpy
-over blocks of a few megabytes, so memory is bounded by the block and by the longest single text.
+over blocks of a megabyte, so memory is bounded by the block and by the longest single text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 SHINGLE_WORDS = 5
 TOKEN_BITS = 48
 
@@ -64,7 +64,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def blocks(buf: np.ndarray, offs: np.ndarray, limit: int = BLOCK, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+def blocks(buf: np.ndarray, offs: np.ndarray, limit: int = BLOCK, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of at most ``limit`` bytes; a longer text comes alone."""
     lo, n = 0, len(offs) - 1
     while lo < n:

@@ -26,7 +26,7 @@ from tessera.llm._store import stored
 
 PERCENT = 75
 BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 ORDERS = 2
 STAR_TOKENS = 6
 CHUNK = 1024

@@ -14,6 +14,7 @@ from tessera.llm import _text
 
 TRAIN_DOCS = 8192
 TABLE_BITS = 16
+GROUP_BYTES = 8 << 20
 SWITCH_PENALTY = 8.0
 MIN_SCRIPT_SHARE = 0.02
 MAX_LANGS = 200
@@ -183,15 +184,27 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
     return labels
 
 
-def label_block(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """(words, label of each word, letters' bytes by text and language) of a block of texts."""
-    w = words_of(buf, offs)
-    rows = len(offs) - 1
-    labels = viterbi(word_scores(model, w), np.bincount(w.owner, minlength=rows))
-    weight = np.where((w.script > 0) & model.allowed[w.script].any(1), w.end - w.start, 0)
-    k = len(model.langs)
-    share = np.bincount(w.owner * k + labels, weights=weight, minlength=rows * k).reshape(rows, k)
-    return w, labels, share
+@dataclass
+class Labels:
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+    label: np.ndarray
+    share: np.ndarray  # bytes of words by text and language
+
+
+def label_texts(model: Model, buf: np.ndarray, offs: np.ndarray) -> Labels:
+    """Words of a group of texts and their labels. Scores are made block by block, all texts of the group advance together."""
+    rows, k = len(offs) - 1, len(model.langs)
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, k), np.float32), np.zeros(0, np.int64))]
+    for lo, hi in _text.blocks(buf, offs):
+        w = words_of(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        weight = np.where((w.script > 0) & model.allowed[w.script].any(1), w.end - w.start, 0)
+        parts.append((w.start + offs[lo], w.end + offs[lo], w.owner + lo, word_scores(model, w), weight))
+    start, end, owner, scores, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    labels = viterbi(scores, np.bincount(owner, minlength=rows))
+    share = np.bincount(owner * k + labels, weights=weight, minlength=rows * k).reshape(rows, k)
+    return Labels(start, end, owner, labels, share)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bool = False) -> DataFrame:
@@ -214,9 +227,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
             column = b.column(at)
             buf, offs = _text.buffers(column)
             preds, scores, all_spans = [], [], []
-            for lo, hi in _text.blocks(buf, offs):
+            for lo, hi in _text.blocks(buf, offs, GROUP_BYTES):
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
+                letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part], dtype=np.int32)])
                 has = letters[cut[1:]] > letters[cut[:-1]]
                 for r in np.flatnonzero(~has):
                     has[r] = any(map(str.isalpha, part[cut[r] : cut[r + 1]].tobytes().decode()))
@@ -225,7 +238,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
                     scores += [0.0] * (hi - lo)
                     all_spans += [[]] * (hi - lo)
                     continue
-                w, labels, share = label_block(model, part, cut)
+                w = label_texts(model, part, cut)
+                labels, share = w.label, w.share
                 total = share.sum(1)
                 best = np.where(total > 0, share.argmax(1), model.prior)
                 score = np.where(has & (total > 0), share[np.arange(len(best)), best] / np.maximum(total, 1), 0.0)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tessera.plans import factor_queries, kernel_queries, projection_queries, sensing_queries, sketch_queries  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "hll_tau_estimate"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -58,7 +58,8 @@ def exact_vertices(spark: SparkSession, d: np.ndarray, tol: float = 1e-10) -> np
             u = (b["id"].to_numpy()[:, None] >> np.arange(r - 1, -1, -1)) & 1
             x = (u - base[rows]) @ z.T + base
             ok = ((np.abs(x) < 1e-8) | (np.abs(x - 1) < 1e-8)).all(1)
-            yield pd.DataFrame({"v": [[int(round(c)) for c in row] for row in x[ok]]})
+            if ok.any():
+                yield pd.DataFrame({"v": [[int(round(c)) for c in row] for row in x[ok]]})
 
     found = spark.range(0, 1 << r, 1, max(1, (1 << r) >> 12)).mapInPandas(run, "v array<int>").distinct().collect()
     return np.array(sorted(tuple(f["v"]) for f in found), int).reshape(len(found), len(d)).T

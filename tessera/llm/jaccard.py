@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _text
 from tessera.llm._graph import components
-from tessera.llm._store import stored
+from tessera.llm._store import bounded_batches, stored
 
 PERCENT = 75
-BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 ORDERS = 2
 STAR_TOKENS = 6
 CHUNK = 1024
 OWNER_BITS = 16
+CLASS_BYTES = 5
 
 PART, META, HELD = 0, 1, 2
 _TOKEN = np.uint64((1 << _text.TOKEN_BITS) - 1)
@@ -85,9 +86,10 @@ def batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np.
         yield batch % buckets, HELD, batch, _planes(keys[place > 1])
         keys, tokens = keys[place <= 1], tokens[place <= 1]
     cut = np.searchsorted(tokens, np.array([(b << _text.TOKEN_BITS) // buckets for b in range(buckets)] + [1 << _text.TOKEN_BITS], np.uint64))
+    short = sums[0].view(np.uint8).reshape(-1, 8)[:, :CLASS_BYTES].tobytes()
     for b in range(buckets):
         if cut[b] < cut[b + 1]:
-            yield b, PART, batch, np.uint64(docs).tobytes() + sums[0].tobytes() + _planes(keys[cut[b] : cut[b + 1]])
+            yield b, PART, batch, np.uint64(docs).tobytes() + short + _planes(keys[cut[b] : cut[b + 1]])
 
 
 def _send(docs: DataFrame, buckets: int, words: int) -> DataFrame:
@@ -109,6 +111,8 @@ def _send(docs: DataFrame, buckets: int, words: int) -> DataFrame:
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                     ["bucket", "kind", "batch", "payload"],
                 )
+                del parts, owner, token, rows
+                _text.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
     return rows.mapInArrow(run, "bucket int, kind int, batch long, payload binary")
@@ -123,18 +127,23 @@ def count_classes(group: pd.DataFrame) -> pd.DataFrame:
         keys, sigs, sizes = [], [], []
         for p in own["payload"]:
             docs = int(np.frombuffer(p, np.uint64, 1)[0])
-            k = _unplanes(p[8 + 8 * docs :], (len(p) - 8 - 8 * docs) // 8)
+            head = 8 + CLASS_BYTES * docs
+            k = _unplanes(p[head:], (len(p) - head) // 8)
             keys.append(k)
-            sigs.append(np.frombuffer(p, np.uint64, docs, 8)[(k & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64)])
+            wide = np.zeros((docs, 8), np.uint8)
+            wide[:, :CLASS_BYTES] = np.frombuffer(p, np.uint8, CLASS_BYTES * docs, 8).reshape(docs, CLASS_BYTES)
+            sigs.append(wide.view(np.uint64).ravel()[(k & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64)])
             sizes.append(len(k))
         keys, sigs = np.concatenate(keys), np.concatenate(sigs)
         tokens = keys >> np.uint64(OWNER_BITS)
         order = np.argsort(tokens)
         start = _text.runs(tokens[order])
+        del tokens
         length = np.diff(np.append(start, len(order)))
         many = np.repeat(length > 1, length)
         at = order[many]
-        run = np.repeat(np.arange(len(start)), length)[many]
+        run = np.repeat(np.arange(len(start), dtype=np.int32), length)[many]
+        del order, many
         inner = np.lexsort((sigs[at], run))
         at, run, s = at[inner], run[inner], sigs[at][inner]
         fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (s[1:] != s[:-1])]) if len(run) else np.zeros(0, bool)
@@ -149,6 +158,7 @@ def count_classes(group: pd.DataFrame) -> pd.DataFrame:
             if hit.any():
                 rows.append((bucket, PART, batch, np.uint64(hit.sum()).tobytes() + df[a:z][hit].tobytes() + _planes(keys[a:z][hit])))
         out.append(pd.DataFrame(rows, columns=["bucket", "kind", "batch", "payload"]))
+    _text.release()
     return pd.concat(out).astype({"bucket": "int32", "kind": "int32", "batch": "int64"})
 
 
@@ -191,13 +201,25 @@ def _gather(percent: int):
     return run
 
 
-def prefix(n: int, token: np.ndarray, df: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The shared shingles of a class's prefix under a global order; its unshared ones come first in every order."""
-    room = n - needed(n, percent) + 1 - (n - len(token))
+def prefix(n: int, token: np.ndarray, df: np.ndarray, order: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, rest): the shared shingles of a class's prefix under a global order, and how many of its shingles stand
+    from each one on. Its unshared shingles come first in every order."""
+    room = len(token) - needed(n, percent) + 1
     if room <= 0:
-        return token[:0]
+        return token[:0], np.zeros(0, np.int64)
     tie = _text.mix(token ^ np.uint64(order * 0x9E3779B9 + 1))
-    return token[np.lexsort((tie, df))][:room]
+    own = token[np.lexsort((tie, df))][:room]
+    return own, len(token) - np.arange(len(own))
+
+
+def reachable(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether entries of one shingle allow the threshold if that shingle is the first the two classes share.
+
+    Then the overlap is at most the shorter rest, and it must be percent / (100 + percent) of both sizes together. A
+    pair that reaches the threshold passes at its first common shingle, so a shingle where it fails need not name it.
+    """
+    rest = np.minimum(x["rest"], y["rest"]).astype(np.int64)
+    return ((100 + percent) * rest >= percent * (x["n"].astype(np.int64) + y["n"])) & (x["node"] != y["node"])
 
 
 def _index(classes: DataFrame, buckets: int, percent: int, star: bool) -> DataFrame:
@@ -212,11 +234,12 @@ def _index(classes: DataFrame, buckets: int, percent: int, star: bool) -> DataFr
                 token, df = np.frombuffer(tokens, np.uint64), np.frombuffer(dfs, np.uint8)
                 typical = len(token) / n + df.astype(float).mean() / 256
                 for o in range(orders):
-                    own = prefix(n, token, df, o, percent)
+                    own, rest = prefix(n, token, df, o, percent)
                     if star:
-                        own = own[np.argsort(_text.mix(own ^ np.uint64(0x5BD1E995)))[:STAR_TOKENS]]
+                        pick = np.argsort(_text.mix(own ^ np.uint64(0x5BD1E995)))[:STAR_TOKENS]
+                        own, rest = own[pick], rest[pick]
                     e = np.zeros(len(own), ENTRY)
-                    e["token"], e["node"], e["n"], e["typical"], e["label"] = own, node, n, typical, label
+                    e["token"], e["node"], e["n"], e["typical"], e["label"], e["rest"] = own, node, n, typical, label, rest
                     entries[o].append(e)
             keys, blobs = [], []
             for o in range(orders):
@@ -232,7 +255,7 @@ def _index(classes: DataFrame, buckets: int, percent: int, star: bool) -> DataFr
     return classes.select("node", "n", "tokens", "dfs", "label").mapInArrow(run, "bucket int, payload binary")
 
 
-ENTRY = np.dtype([("token", "u8"), ("node", "i8"), ("n", "i4"), ("typical", "f4"), ("label", "i8")])
+ENTRY = np.dtype([("token", "u8"), ("node", "i8"), ("n", "i4"), ("rest", "i4"), ("typical", "f4"), ("label", "i8")])
 _PAIRS = "a long, b long, order int, left binary, right binary"
 
 
@@ -244,8 +267,9 @@ def _frame(a, b, order: int, left=None, right=None) -> pd.DataFrame:
 def _cross(x: np.ndarray, y: np.ndarray, percent: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different labels whose sizes allow the threshold; ``own``: x is y, each pair once."""
     i, j = np.triu_indices(len(x), 1) if own else np.divmod(np.arange(len(x) * len(y)), len(y))
-    small, large = np.minimum(x["n"][i], y["n"][j]), np.maximum(x["n"][i], y["n"][j])
-    ok = (x["label"][i] != y["label"][j]) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (x["node"][i] != y["node"][j])
+    ok = x["label"][i] != y["label"][j]
+    i, j = i[ok], j[ok]
+    ok = reachable(x[i], y[j], percent)
     a, b = x["node"][i][ok], y["node"][j][ok]
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -266,7 +290,7 @@ def _candidates(buckets: int, percent: int, star: bool):
             start = _text.runs(e["token"])
             head = np.repeat(start, np.diff(np.append(start, len(e))))
             small, large = np.minimum(e["n"], e["n"][head]), np.maximum(e["n"], e["n"][head])
-            ok = (head != np.arange(len(e))) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (e["node"] != e["node"][head])
+            ok = (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (e["node"] != e["node"][head])
             a, b = e["node"][head][ok], e["node"][ok]
             return _frame(*_unique_pairs(np.minimum(a, b), np.maximum(a, b)), order)
         e = e[np.lexsort((e["n"], e["token"]))]
@@ -342,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
     sets are one class, the first round only spares pairs of classes already connected. Shingles are compared by
     48-bit hashes. Rows without doc_id keep null as component. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, math.ceil(total / BUCKET_BYTES))
     sent = _send(docs, buckets, words)

@@ -1,12 +1,50 @@
-"""Connected components by alternating large-star and small-star steps; nothing is gathered on the driver."""
+"""Connected components: parts of the edges are contracted where they are, then large-star and small-star steps join them."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._store import stored
 
+PART_EDGES = 1 << 20
+
+
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of the component of each) of the edges (u, v)."""
+    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inverse[: len(u)], inverse[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, step := label[label]):
+            label = step
+    return nodes, nodes[label]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v): each part's nodes with the root they have in that part."""
+
+    def run(batches):
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            us.append(b.column(0).to_numpy())
+            vs.append(b.column(1).to_numpy())
+        nodes, roots = contract(np.concatenate(us), np.concatenate(vs))
+        for s in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + (1 << 16)]), pa.array(roots[s : s + (1 << 16)])], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step over (u, v). Large star: neighbours above u move to u's least one; small star: those below u do."""
@@ -21,18 +59,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).dropDuplicates()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label) for every node of ``edges`` (u, v); the label is the least node of the component.
+def components(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int = 60) -> DataFrame:
+    """(node, label) for every node of ``edges`` (u, v) with an edge to another; the label is the component's least node.
 
-    Each round halves the depth of the trees at least, so a round more than the logarithm of the longest path ends it.
-    A hub's edges stay spread: the least neighbour is a partial aggregate, joined back under adaptive skew handling.
+    Edges are dealt to parts of about ``part_edges`` rows, whatever their nodes, and a part is contracted to a star for each
+    of its components. With one part that is all. Otherwise star steps follow: each round halves the depth of the trees at
+    least. A hub's edges stay spread: its least neighbour is a partial aggregate, joined back under adaptive skew handling.
     """
-    now = stored(edges.where(F.col("u") != F.col("v")).select("u", "v").dropDuplicates())
+    now = stored(edges.where(F.col("u") != F.col("v")).select("u", "v"))
+    parts = math.ceil(now.count() / part_edges)
+    if parts <= 1:
+        return stored(_contracted(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("label")))
+    now = stored(_contracted(now.repartition(parts)).where(F.col("u") != F.col("v")))
     check = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     mark = check(now)
     for _ in range(max_rounds):
-        if not mark["n"]:
-            break
         now = stored(_stars(_stars(now, True), False))
         new = check(now)
         if (new["n"], new["s"]) == (mark["n"], mark["s"]):

@@ -276,10 +276,11 @@ def test_prefix_filter_loses_no_pair(a, change, data):
         assert len(common) and jaccard.reachable(x, y, 75).any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [10, 1 << 20])
+def test_components(spark, part):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(5, 5)]
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long"), part).collect()}
     root: dict[int, int] = {}
 
     def find(x):

@@ -1,17 +1,18 @@
 """Vectorised kernels over the byte buffers of Arrow string columns.
 
 Texts never become Python strings here: a record batch's data buffer is viewed as ``uint8`` and all work is numpy
-over blocks of a megabyte, so memory is bounded by the block and by the longest single text.
+over blocks of a quarter megabyte, so memory is bounded by the block and by the longest single text.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE_WORDS = 5
 TOKEN_BITS = 48
 
@@ -37,6 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and their executor's memory is one budget."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2**64 and their inverses."""
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
@@ -91,6 +100,19 @@ def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((h[end] - h[start]) * inverse[start])
 
 
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges in increasing order, block by block; the powers needed stay as few as a block's bytes."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK, "right")))
+        at = start[lo]
+        h = prefix_hash(buf[at : end[hi - 1]])
+        out[lo:hi] = range_hash(h, start[lo:hi] - at, end[lo:hi] - at)
+        lo = hi
+    return out
+
+
 def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of non-space bytes that lie within one text."""
     if not len(buf):
@@ -105,19 +127,11 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of all words; a text beyond a block is worked off in pieces cut at spaces."""
+    """(starts, ends, hashes) of all words; hashes don't depend on where a word stands."""
     if lower:
         buf = LOWER[buf]
     start, end = word_bounds(buf, offs)
-    out = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK, "right")))
-        at = start[lo]
-        h = prefix_hash(buf[at : end[hi - 1]])
-        out[lo:hi] = range_hash(h, start[lo:hi] - at, end[lo:hi] - at)
-        lo = hi
-    return start, end, out
+    return start, end, hash_ranges(buf, start, end)
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

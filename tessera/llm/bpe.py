@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm._store import bounded_batches
+
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 
@@ -79,6 +81,8 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     of the empty string. Repeated rows give repeated results; only ``doc_id`` and ``text`` are read.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             counts, ids_hash, text_hash = [], [], []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
-from tessera.llm._store import stored
+from tessera.llm._store import bounded_batches, stored
 
 WINDOW = 8
 MIN_LITERALS = 5
@@ -49,7 +49,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
     A token is a run of letters, digits and non-ASCII bytes; a point or comma between digits belongs to it. It is a
     number if it begins with a digit or is a number word, a unit if it stands after a number and in ``UNITS``, a name
-    if it begins with a capital and the text before it doesn't end a sentence. Hashes ignore ASCII case.
+    if it begins with a single capital and the text before it doesn't end a sentence. Hashes ignore ASCII case.
     """
     n = len(buf)
     if not n:
@@ -64,14 +64,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     last[:-1] &= ~word[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     owner = np.searchsorted(offs, start, "right") - 1
-    low = _text.LOWER[buf]
-    hashed = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _text.BLOCK, "right")))
-        h = _text.prefix_hash(low[start[lo] : end[hi - 1]])
-        hashed[lo:hi] = _text.range_hash(h, start[lo:hi] - start[lo], end[lo:hi] - start[lo])
-        lo = hi
+    hashed = _text.hash_ranges(_text.LOWER[buf], start, end)
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
     before = np.concatenate([[0], end[:-1]]).astype(np.int64)
     new_text = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
@@ -79,8 +72,9 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     capital = _UPPER[buf[start]]
     after = buf[np.minimum(start + 1, n - 1)]
     capital |= (buf[start] == 0xC3) & (after >= 0x80) & (after <= 0x9E)
+    shouted = _UPPER[after] & (end - start > 1)
     kind = np.zeros(len(start), np.int8)
-    kind[capital & ~opens] = NAME
+    kind[capital & ~shouted & ~opens] = NAME
     number = digit[start] | _member(hashed, _hash_words(NUMBER_WORDS))
     kind[number] = NUMBER
     follows = np.concatenate([[False], number[:-1]]) & ~new_text
@@ -202,6 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids match nothing; repeated doc_ids count as one document.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
     short = _lengths(items)

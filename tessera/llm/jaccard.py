@@ -51,11 +51,11 @@ def needed(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np.ndarray, batch: int, buckets: int, sigs: np.ndarray | None = None):
+def batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np.ndarray, batch: int, buckets: int, sigs: np.ndarray | None = None, turn: np.ndarray | None = None):
     """The rows a batch of texts sends: (bucket, kind, batch, payload).
 
-    ``token`` are the distinct 48-bit tokens of each text. Texts of one class count once for a token: with ``sigs``
-    those with equal values, otherwise those with equal sets, of which only the first of the batch sends.
+    ``token`` are the distinct 48-bit tokens of each text. Texts of one class count once for a token, and only one of the
+    batch sends: that of least ``turn``, or the first. A class is a value of ``sigs``, or else a set of tokens.
     """
     docs = len(ids)
     n = np.bincount(owner, minlength=docs)
@@ -65,10 +65,9 @@ def batch_rows(ids: np.ndarray, valid: np.ndarray, owner: np.ndarray, token: np.
         total = np.concatenate([[np.uint64(0)], np.cumsum(_text.mix(token ^ np.uint64(salt << 16)))])
         with np.errstate(over="ignore"):
             sums.append(_text.mix(total[at + n] - total[at] + n.astype(np.uint64)))
-    # of texts with one set, the first sends
     if sigs is not None:
-        sums = [sigs, _text.mix(ids.view(np.uint64) ^ np.arange(docs, dtype=np.uint64))]
-    order = np.lexsort((np.arange(docs), sums[1], sums[0]))
+        sums = [sigs, sigs]
+    order = np.lexsort((np.arange(docs) if turn is None else turn, sums[1], sums[0]))
     same = np.concatenate([[False], (sums[0][order][1:] == sums[0][order][:-1]) & (sums[1][order][1:] == sums[1][order][:-1])]) if docs else np.zeros(0, bool)
     sends = np.ones(docs, bool)
     sends[order[same]] = False
@@ -173,8 +172,10 @@ def gathered(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, dfs = np.concatenate(keys), np.concatenate(dfs)
     for p in group.loc[group["kind"] == HELD, "payload"]:
         held = _unplanes(p, len(p) // 8)
-        at = np.searchsorted(keys >> np.uint64(OWNER_BITS), held >> np.uint64(OWNER_BITS))
-        keys, dfs = np.concatenate([keys, held]), np.concatenate([dfs, dfs[at]])
+        tokens = keys >> np.uint64(OWNER_BITS)
+        at = np.minimum(np.searchsorted(tokens, held >> np.uint64(OWNER_BITS)), max(0, len(tokens) - 1))
+        back = tokens[at] == held >> np.uint64(OWNER_BITS) if len(tokens) else np.zeros(len(held), bool)
+        keys, dfs = np.concatenate([keys, held[back]]), np.concatenate([dfs, dfs[at[back]] if len(dfs) else dfs])
     return meta, keys, dfs
 
 
@@ -247,7 +248,7 @@ def _index(classes: DataFrame, buckets: int, percent: int, star: bool) -> DataFr
                 to = (_text.mix(e["token"]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 e, to = e[order], to[order]
-                for s, z in zip(_text.runs(to), np.append(_text.runs(to)[1:], len(to)), strict=True):
+                for s, z in zip(_text.runs(to), np.append(_text.runs(to)[1:], len(to)), strict=False):
                     keys.append(o * buckets + int(to[s]))
                     blobs.append(e[s:z].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "payload"])
@@ -296,7 +297,7 @@ def _candidates(buckets: int, percent: int, star: bool):
         e = e[np.lexsort((e["n"], e["token"]))]
         start = _text.runs(e["token"])
         mixed = np.minimum.reduceat(e["label"], start) != np.maximum.reduceat(e["label"], start)
-        ends = np.append(start[1:], len(e))
+        ends = np.append(start[1:], len(e))[: len(start)]
         pairs_a, pairs_b, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
         for s, z in zip(start[mixed], ends[mixed], strict=True):
             if z - s <= CHUNK:

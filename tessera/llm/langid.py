@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._store import bounded_batches
 
 TRAIN_DOCS = 8192
 TABLE_BITS = 16
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 3 << 20
 SWITCH_PENALTY = 8.0
 MIN_SCRIPT_SHARE = 0.02
 MAX_LANGS = 200
@@ -87,6 +88,7 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
 
     Counts are summed per language where the rows are; the driver gets two tables of 2**16 counts a language.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     total = rows.count()
     if not total:
@@ -196,12 +198,14 @@ class Labels:
 def label_texts(model: Model, buf: np.ndarray, offs: np.ndarray) -> Labels:
     """Words of a group of texts and their labels. Scores are made block by block, all texts of the group advance together."""
     rows, k = len(offs) - 1, len(model.langs)
-    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, k), np.float32), np.zeros(0, np.int64))]
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32),) * 3 + (np.zeros((0, k), np.float32), np.zeros(0, np.int32))]
     for lo, hi in _text.blocks(buf, offs):
         w = words_of(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         weight = np.where((w.script > 0) & model.allowed[w.script].any(1), w.end - w.start, 0)
-        parts.append((w.start + offs[lo], w.end + offs[lo], w.owner + lo, word_scores(model, w), weight))
+        small = lambda x: x.astype(np.int32)
+        parts.append((small(w.start + offs[lo]), small(w.end + offs[lo]), small(w.owner + lo), word_scores(model, w), small(weight)))
     start, end, owner, scores, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     labels = viterbi(scores, np.bincount(owner, minlength=rows))
     share = np.bincount(owner * k + labels, weights=weight, minlength=rows * k).reshape(rows, k)
     return Labels(start, end, owner, labels, share)
@@ -214,6 +218,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
     share. Text that is null or has no letter gets ``und`` and 0; letters of scripts no language was seen in give the
     most common language and 0; without a model all is ``und``. Only ``text`` decides; the model is a few MB.
     """
+    bounded_batches(docs.sparkSession)
     names = ["lang_pred", "score", "lang_spans"][: 2 + spans]
     base = docs.drop("lang_pred", "score", "lang_spans")
     kinds = [T.StringType(), T.DoubleType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))]
@@ -256,6 +261,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
             if spans:
                 new.append(pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [f.name for f in schema.fields])
+            _text.release()
 
     return base.mapInArrow(run, schema)
 

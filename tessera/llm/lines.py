@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._store import stored
+from tessera.llm import _text
+from tessera.llm._store import bounded_batches, stored
 
 SPACE = b" \t\n\v\f\r"
 SEGMENT_BITS = 1 << 20
@@ -188,6 +189,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     if keep not in ("none", "first"):
         raise ValueError("keep must be 'none' or 'first'")
     spark, first = docs.sparkSession, keep == "first"
+    bounded_batches(spark)
     base = docs.drop("n_lines", "n_dropped")
     found = stored(repeated_lines(base.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_docs, min_chars, bits))
     names = base.columns
@@ -212,6 +214,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
             held = dict(zip(h.tolist(), docs_of if docs_of is not None else [None] * len(h), strict=True))
             for b in batches:
                 yield cleaned(b, len(names), lambda _: held)
+                _text.release()
 
         return base.mapInArrow(run, schema)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._store import bounded_batches
 
 CACHE_WORDS = 400_000
 CACHE_BYTES = 64
@@ -103,6 +104,7 @@ def count_tokens(docs: DataFrame, make, text: str = "text") -> DataFrame:
     ``make`` gives the automaton in the worker. Words are runs of non-space bytes. Counts of short words are
     remembered, up to ``CACHE_WORDS``; a long word passes through the automaton once, byte by byte. No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.drop("n_bytes", "n_words", "n_tokens")
     added = ["n_bytes", "n_words", "n_tokens"]
     schema = T.StructType([*base.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])

@@ -3,10 +3,11 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document of smaller id. Every such string
 (window) has an anchor, the leftmost least hash of its ``GRAM``-byte substrings, so equal windows have equal anchors.
 
-1. Anchors are exchanged between batches of texts; those found in one document only are done.
-2. Documents cut the neighbourhoods of shared anchors: the windows of one anchor and the bytes they cover. They go to
+1. Of equal texts the one of smallest id stands for all: the others are repeats from end to end.
+2. Anchors are exchanged between batches of texts; those found in one text only are done.
+3. Documents cut the neighbourhoods of shared anchors: the windows of one anchor and the bytes they cover. They go to
    shards by the anchor. Of equal neighbourhoods in a batch only those of the smallest id go, the others are all repeats.
-3. A shard's neighbourhoods form one text. A large shard is cut into parts that get a suffix array each; windows of one
+4. A shard's neighbourhoods form one text. A large shard is cut into parts that get a suffix array each; windows of one
    part are looked up in the sorted windows of the others by binary search. Neighbours in a suffix array with a common
    prefix of ``LENGTH`` bytes are equal windows; the smallest id among them keeps its own.
 """
@@ -25,13 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._store import bounded_batches, stored
 from tessera.llm.jaccard import BATCH_BYTES, OWNER_BITS, batch_rows, count_classes, gathered
 
 LENGTH = 50
 GRAM = 26
-PART_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+PART_BYTES = 2 << 20
+SHARD_BYTES = 3 << 20
+BUCKET_BYTES = 16 << 20
 LANES = 1 << 15
+#: A difference of two 8-byte words is below the k-th bound if their first k+1 bytes are equal.
+_BELOW = np.array([1 << (56 - 8 * k) for k in range(8)], np.uint64)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +85,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, lanes: int = L
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.zeros(n, np.uint64)
+    words = np.zeros(n + 1, np.uint64)
     for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : n + k]
+        words[:n] = (words[:n] << np.uint64(8)) | padded[k : n + k]
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
     before = np.where(place > 0, sa[np.maximum(place - 1, 0)], -1)
@@ -99,15 +104,16 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, lanes: int = L
         valid[valid] = place[follower[valid]] < place[i[valid]]
         h = np.where(valid, np.maximum(h - 1, 0), 0)
         last = before[i]
-        for width in (8, 1):
-            grow = np.flatnonzero(last >= 0)
-            while len(grow):
-                a, b = i[grow] + h[grow], last[grow] + h[grow]
-                ok = (h[grow] + width <= limit) & (np.maximum(a, b) + width <= n)
-                source = words if width == 8 else text
-                ok[ok] = source[a[ok]] == source[b[ok]]
-                grow = grow[ok]
-                h[grow] += width
+        grow = np.flatnonzero(last >= 0)
+        while len(grow):
+            differ = words[i[grow] + h[grow]] ^ words[last[grow] + h[grow]]
+            same = np.zeros(len(grow), np.int64)
+            for bits in range(8):
+                same += differ < _BELOW[bits]
+            h[grow] += same
+            room = np.minimum(limit, n - np.maximum(i[grow], last[grow]))
+            grow = grow[(same == 8) & (h[grow] < room)]
+        h = np.minimum(h, np.where(last >= 0, np.minimum(limit, n - np.maximum(i, last)), 0))
         lcp[place[i]] = h
     return lcp
 
@@ -211,12 +217,13 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(new & whole)
     following = np.append(np.flatnonzero(new | ~whole), n)
     end = following[np.searchsorted(following, first, "right")]
-    return owner[first], own_value[where[first]] >> np.uint64(64 - _text.TOKEN_BITS), first, end - first
+    # least values crowd at zero; mixed again, they spread over the buckets
+    return owner[first], _text.mix(own_value[where[first]]) >> np.uint64(64 - _text.TOKEN_BITS), first, end - first
 
 
 def _pieces(buf: np.ndarray, offs: np.ndarray):
     """Blocks of texts; a text beyond a block comes in pieces that overlap by a window less a byte, with its offset."""
-    for lo, hi in _text.blocks(buf, offs):
+    for lo, hi in _text.blocks(buf, offs, _text.BLOCK):
         if hi - lo > 1 or offs[hi] - offs[lo] <= _text.BLOCK:
             yield lo, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], 0
             continue
@@ -226,12 +233,13 @@ def _pieces(buf: np.ndarray, offs: np.ndarray):
 
 
 def _send(docs: DataFrame, buckets: int) -> DataFrame:
-    """The distinct anchors of each text; rows are (uid, doc_id, text)."""
+    """The distinct anchors of each text; rows are (uid, doc_id, text, t1). Equal texts are one class; the least id sends."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sigs = _text.mix(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            turn = b.column(1).to_numpy(zero_copy_only=False)
+            sigs = _text.mix(b.column(4).to_numpy(zero_copy_only=False).view(np.uint64))
             buf, offs = _text.buffers(b.column(2))
             for lo, hi in _text.blocks(buf, offs, BATCH_BYTES):
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
@@ -243,13 +251,15 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
                 owner, token = (keys >> np.uint64(_text.TOKEN_BITS)).astype(np.int64), keys & np.uint64((1 << _text.TOKEN_BITS) - 1)
                 stamp = b.column(3)[lo].as_py()
                 digest = hashlib.blake2b(ids[lo:hi].tobytes() + stamp.to_bytes(8, "little", signed=True), digest_size=8).digest()
-                rows = list(batch_rows(ids[lo:hi], np.ones(hi - lo, bool), owner, token, int.from_bytes(digest, "little") >> 1, buckets, sigs[lo:hi]))
+                rows = list(batch_rows(ids[lo:hi], np.ones(hi - lo, bool), owner, token, int.from_bytes(digest, "little") >> 1, buckets, sigs[lo:hi], turn[lo:hi]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                     ["bucket", "kind", "batch", "payload"],
                 )
+                del keys, owner, token, rows
+                _text.release()
 
-    rows = docs.select("uid", "doc_id", "text", F.monotonically_increasing_id().alias("at"))
+    rows = docs.select("uid", "doc_id", "text", F.monotonically_increasing_id().alias("at"), "t1")
     return rows.mapInArrow(run, "bucket int, kind int, batch long, payload binary")
 
 
@@ -260,81 +270,110 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort((owner.astype(np.uint64) << np.uint64(_text.TOKEN_BITS)) | (keys >> np.uint64(OWNER_BITS)))
     owner, token = owner[order], (keys >> np.uint64(OWNER_BITS))[order]
     start = _text.runs(owner)
-    ends = np.append(start[1:], len(owner))
+    ends = np.append(start[1:], len(owner))[: len(start)]
     return pd.DataFrame({"uid": meta[0].view(np.int64)[owner[start]], "tokens": [token[a:z].tobytes() for a, z in zip(start, ends, strict=True)]})
 
 
-ENTRY = np.dtype([("content", "u8"), ("doc", "i8"), ("uid", "i8"), ("first", "i8"), ("windows", "i4")])
+ENTRY = np.dtype([("doc", "i8"), ("uid", "i8"), ("first", "u4"), ("windows", "u1")])
+
+
+def pack(e: np.ndarray, text: np.ndarray) -> bytes:
+    """Entries column by column, then their bytes."""
+    return b"".join(np.ascontiguousarray(e[c]).tobytes() for c in ENTRY.names) + text.tobytes()
+
+
+def unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    e, at = np.zeros(n, ENTRY), 0
+    for c in ENTRY.names:
+        e[c] = np.frombuffer(raw, ENTRY[c], n, at)
+        at += n * ENTRY[c].itemsize
+    return e, np.frombuffer(raw, np.uint8, offset=at)
+
+
 SPAN = np.dtype([("uid", "i8"), ("start", "i8"), ("end", "i8")])
 
 
 def _cut(shards: int):
     """(uid, doc_id, text, tokens) to (shard, kind, payload): neighbourhoods of shared anchors, and spans known already."""
 
+    def neighbourhoods(b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entries, contents, tokens, bytes) of a batch's shared anchors; the bytes follow each other in that order."""
+        uids, docs, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3)
+        buf, offs = _text.buffers(b.column(2))
+        entries, contents, tokens, texts = [np.zeros(0, ENTRY)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for lo, part, cut, shift in _pieces(buf, offs):
+            owner, token, first, windows = anchors(part, cut)
+            held = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(lists[lo + r].as_py(), np.uint64) | np.uint64(r << _text.TOKEN_BITS) for r in range(len(cut) - 1))])
+            mine = (owner.astype(np.uint64) << np.uint64(_text.TOKEN_BITS)) | token
+            spot = np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))
+            keep = held[spot] == mine if len(held) else np.zeros(len(mine), bool)
+            owner, token, first, windows = owner[keep], token[keep], first[keep], windows[keep]
+            e = np.zeros(len(owner), ENTRY)
+            size = windows + LENGTH - 1
+            contents.append(_text.range_hash(_text.prefix_hash(part), first, first + size))
+            e["doc"], e["uid"], e["windows"] = docs[lo + owner], uids[lo + owner], windows
+            e["first"] = first - cut[owner] + shift
+            ends = np.cumsum(size)
+            entries.append(e)
+            tokens.append(token)
+            texts.append(part[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - first, size)])
+        return np.concatenate(entries), np.concatenate(contents), np.concatenate(tokens), np.concatenate(texts)
+
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            uids = b.column(0).to_numpy(zero_copy_only=False)
-            docs = b.column(1).to_numpy(zero_copy_only=False)
-            lists = b.column(3)
-            buf, offs = _text.buffers(b.column(2))
-            for lo, part, cut, shift in _pieces(buf, offs):
-                owner, token, first, windows = anchors(part, cut)
-                held = [np.frombuffer(lists[lo + r].as_py(), np.uint64) | np.uint64(r << _text.TOKEN_BITS) for r in range(len(cut) - 1)]
-                held = np.concatenate(held) if held else np.zeros(0, np.uint64)
-                mine = (owner.astype(np.uint64) << np.uint64(_text.TOKEN_BITS)) | token
-                spot = np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))
-                keep = held[spot] == mine if len(held) else np.zeros(len(mine), bool)
-                owner, token, first, windows = owner[keep], token[keep], first[keep], windows[keep]
-                if not len(owner):
-                    continue
-                e = np.zeros(len(owner), ENTRY)
-                h = _text.prefix_hash(part)
-                e["content"] = _text.range_hash(h, first, first + windows + LENGTH - 1)
-                e["doc"], e["uid"], e["windows"] = docs[lo + owner], uids[lo + owner], windows
-                e["first"] = first - cut[owner] + shift
-                order = np.lexsort((e["doc"], e["content"]))
-                start = _text.runs(e["content"][order])
-                least = np.repeat(e["doc"][order][start], np.diff(np.append(start, len(order))))
-                known = e["doc"][order] > least
-                spans = np.zeros(int(known.sum()), SPAN)
-                x = e[order[known]]
-                spans["uid"], spans["start"], spans["end"] = x["uid"], x["first"], x["first"] + x["windows"] + LENGTH - 1
-                rows = [(int(spans["uid"][0]) % shards, 1, spans.tobytes())] if len(spans) else []
-                at = order[~known]
-                to = (token[at] % np.uint64(shards)).astype(np.int64)
-                at, to = at[np.lexsort((token[at], to))], np.sort(to)
-                starts = _text.runs(to)
-                packer = zstandard.ZstdCompressor(level=1)
-                for s, z in zip(starts, np.append(starts[1:], len(to)), strict=True):
-                    own = at[s:z]
-                    size = e["windows"][own] + LENGTH - 1
-                    ends = np.cumsum(size)
-                    pick = np.arange(ends[-1]) - np.repeat(ends - size - first[own], size)
-                    rows.append((int(to[s]), 0, np.int64(len(own)).tobytes() + packer.compress(e[own].tobytes() + part[pick].tobytes())))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["shard", "kind", "payload"],
-                )
+            e, content, token, text = neighbourhoods(b)
+            if not len(e):
+                continue
+            size = e["windows"].astype(np.int64) + LENGTH - 1
+            begin = np.cumsum(size) - size
+            order = np.lexsort((e["doc"], content))
+            start = _text.runs(content[order])
+            least = np.repeat(e["doc"][order][start], np.diff(np.append(start, len(order))))
+            known = e["doc"][order] > least
+            x = e[order[known]]
+            spans = np.zeros(len(x), SPAN)
+            spans["uid"], spans["start"] = x["uid"], x["first"]
+            spans["end"] = spans["start"] + x["windows"] + LENGTH - 1
+            rows = [(int(spans["uid"][0]) % shards, 1, spans.tobytes())] if len(spans) else []
+            at = order[~known]
+            to = (token[at] % np.uint64(shards)).astype(np.int64)
+            inner = np.lexsort((token[at], to))
+            at, to = at[inner], to[inner]
+            starts = _text.runs(to)
+            for s, z in zip(starts, np.append(starts[1:], len(to)), strict=False):
+                own = at[s:z]
+                ends = np.cumsum(size[own])
+                pick = np.arange(ends[-1]) - np.repeat(ends - size[own] - begin[own], size[own])
+                rows.append((int(to[s]), 0, np.int64(len(own)).tobytes() + packer.compress(pack(e[own], text[pick]))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+                ["shard", "kind", "payload"],
+            )
+            del e, content, token, text, rows
+            _text.release()
 
     return run
 
 
 def _solve(group: pd.DataFrame) -> pd.DataFrame:
-    """(uid, start, end) of the repeated byte ranges of a shard's documents."""
+    """(uid, spans) of the repeated byte ranges of a shard's documents, packed as pairs of start and end."""
     spans = [np.frombuffer(p, SPAN) for p in group.loc[group["kind"] == 1, "payload"]]
     entries, texts = [np.zeros(0, ENTRY)], [np.zeros(0, np.uint8)]
     for p in group.loc[group["kind"] == 0, "payload"]:
         n = int(np.frombuffer(p, np.int64, 1)[0])
         raw = zstandard.ZstdDecompressor().decompress(p[8:])
-        entries.append(np.frombuffer(raw, ENTRY, n))
-        texts.append(np.frombuffer(raw, np.uint8, offset=n * ENTRY.itemsize))
+        own, part = unpack(raw, n)
+        entries.append(own)
+        texts.append(part)
     e, text = np.concatenate(entries), np.concatenate(texts)
     if len(e):
         size = e["windows"].astype(np.int64) + LENGTH - 1
         begin = np.cumsum(size) - size
         # one neighbourhood stands for all equal ones
-        order = np.lexsort((e["doc"], e["content"]))
-        start = _text.runs(e["content"][order])
+        content = _text.hash_ranges(text, begin, begin + size)
+        order = np.lexsort((e["doc"], content))
+        start = _text.runs(content[order])
         which = np.empty(len(e), np.int64)
         which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
         rep = order[start]
@@ -356,7 +395,8 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
             tail = gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]])
             s, z = np.flatnonzero(head), np.flatnonzero(tail)
             found = np.zeros(len(s), SPAN)
-            found["uid"], found["start"], found["end"] = e["uid"][row[s]], e["first"][row[s]] + within[s], e["first"][row[z]] + within[z] + LENGTH
+            found["uid"], found["start"] = e["uid"][row[s]], e["first"][row[s]] + within[s]
+            found["end"] = e["first"][row[z]] + within[z] + LENGTH
             spans.append(found)
     out = np.concatenate(spans) if spans else np.zeros(0, SPAN)
     order = np.lexsort((out["start"], out["uid"]))
@@ -367,31 +407,49 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
         reach = np.concatenate([[True], (out["uid"][1:] != out["uid"][:-1]) | (out["start"][1:] > out["end"][:-1])])
     starts = np.flatnonzero(reach)
     end = np.maximum.reduceat(out["end"], starts) if len(starts) else out["end"]
-    return pd.DataFrame({"uid": out["uid"][starts], "start": out["start"][starts], "end": end})
+    pairs = np.stack([out["start"][starts], end], 1)
+    uid = out["uid"][starts]
+    heads = _text.runs(uid)
+    tails = np.append(heads[1:], len(uid))[: len(heads)]
+    _text.release()
+    return pd.DataFrame({"uid": uid[heads], "spans": [pairs[a:z].tobytes() for a, z in zip(heads, tails, strict=True)]})
+
 
+def union(pairs: np.ndarray) -> np.ndarray:
+    """Overlapping and adjacent (start, end) rows as maximal runs, in order."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    reach = np.maximum.accumulate(pairs[:, 1])
+    head = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
+    return np.stack([pairs[head, 0], reach[np.append(head[1:], len(pairs)) - 1]], 1)
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and adjacent spans as maximal runs."""
-    out: list[list[int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(uid): rows whose whole text a row of smaller doc_id has; ``docs`` holds two hashes t1, t2 of the text."""
+    ids = docs.select("uid", "doc_id", "t1", "t2")
+    first = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+    return ids.join(first, ["t1", "t2"]).where(F.col("doc_id") > F.col("first")).select("uid").distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(uid, spans): byte ranges to remove, by ``uid`` = xxhash64(doc_id, text), for ``docs`` (uid, doc_id, text)."""
+    """(uid, spans): byte ranges to remove, by ``uid`` = xxhash64(doc_id, text), for ``docs`` (uid, doc_id, text, t1, t2).
+
+    A copy of a whole text has the one range from 0 to 2**62.
+    """
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, math.ceil(total / (128 << 20)))
+    buckets = max(12, math.ceil(total / BUCKET_BYTES))
     sent = _send(docs, buckets)
     shared = sent.groupBy("bucket").applyInPandas(count_classes, sent.schema).groupBy("batch").applyInPandas(_shared, "uid long, tokens binary")
-    shared = shared.groupBy("uid").agg(F.first("tokens").alias("tokens"))
+    whole = stored(copies(docs))
+    shared = stored(shared.groupBy("uid").agg(F.first("tokens").alias("tokens")).join(whole, "uid", "left_anti"))
     shards = max(12, math.ceil(total / SHARD_BYTES))
     cut = docs.join(shared, "uid").select("uid", "doc_id", "text", "tokens").mapInArrow(_cut(shards), "shard int, kind int, payload binary")
-    spans = cut.groupBy("shard").applyInPandas(_solve, "uid long, start long, end long")
-    return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = cut.groupBy("shard").applyInPandas(_solve, "uid long, spans binary")
+    found = spans.groupBy("uid").agg(F.collect_list("spans").alias("spans"))
+    everything = F.lit(np.array([0, 1 << 62], np.int64).tobytes())
+    return stored(found.unionByName(whole.select("uid", F.array(everything).alias("spans"))))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -403,7 +461,9 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     added = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
     base = docs.drop(*(f.name for f in added))
     keyed = base.withColumn("uid", F.xxhash64("doc_id", text))
-    source = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length(text) >= LENGTH)).select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length(text) >= LENGTH)).select(
+        "uid", F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")
+    )
     joined = keyed.join(repeated_spans(source), "uid", "left").select(*base.columns, F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"))
     at, width = base.columns.index(text), len(base.columns)
     schema = T.StructType([*base.schema.fields, *added])
@@ -412,9 +472,9 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             buf, offs = _text.buffers(b.column(at))
             kept, n_bytes, removed, counts = [], [], [], []
-            for r, spans in enumerate(b.column(width).to_pylist()):
+            for r, spans in enumerate(b.column(width)):
                 raw = buf[offs[r] : offs[r + 1]].tobytes()
-                gone = union([(s["start"], s["end"]) for s in spans or ()])
+                gone = union(np.frombuffer(b"".join(spans.as_py() or ()), np.int64).reshape(-1, 2)).tolist()
                 out, last = [], 0
                 for a, z in gone:
                     out.append(raw[last:a])

@@ -282,6 +282,21 @@ def sketch_and_solve(spark, d):
     return out
 
 
+@query()
+def sketch_sweep(spark, d):
+    """Relative residuals over a grid of sketch sizes; every repeat has its own seed."""
+    from tessera.sources.tables import Sweep
+
+    df, x, y = _lsq(spark, d)
+    row = H.key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))
+    out = None
+    for cell in Sweep(k1=[128, 512], k2=[32, 64], repeats=2).table(spark).collect():
+        beta = leastsq.sketch_and_solve(df, row, x, y, cell["k1"], cell["k2"], cell["repeat"])
+        r = leastsq.residual(df, x, y, beta).select(F.lit(cell["k1"]).alias("k1"), F.lit(cell["k2"]).alias("k2"), F.lit(cell["repeat"]).alias("repeat"), "residual")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 # ---- low rank plus sparse
 
 _CARD = 200

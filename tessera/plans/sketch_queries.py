@@ -269,3 +269,13 @@ def entropy_sketched(spark, d):
 @query("SELECT i::BIGINT AS item, 1000.0 / (i + 1) AS cnt FROM range(1000) r(i)")
 def zipf_counts(spark, d):
     return Mo.test_counts(spark, 1000, "zipf")
+
+
+@query()
+def moment_accuracy(spark, d):
+    """Relative errors of all estimators over a grid of alpha, for a skewed and a real distribution of counts."""
+    out = None
+    for name, counts in (("zipf", Mo.test_counts(spark, 500, "zipf")), ("parts", _counts(spark, d))):
+        rows = Mo.accuracy(counts, [0.5, 0.9, 0.99], PROJ).select(F.lit(name).alias("counts"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -32,12 +33,19 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; a lost executor costs no recomputation of what led to it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _free(spark)
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    spark._jvm.System.gc()  # the shuffles that led here are garbage now; Spark frees their files when the JVM notices
+    _free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans nothing refers to any more; it does so when the JVM collects them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm

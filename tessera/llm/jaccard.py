@@ -294,7 +294,7 @@ def _candidates(buckets: int, percent: int, star: bool):
             ok = (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (e["node"] != e["node"][head])
             a, b = e["node"][head][ok], e["node"][ok]
             return _frame(*_unique_pairs(np.minimum(a, b), np.maximum(a, b)), order)
-        e = e[np.lexsort((e["n"], e["token"]))]
+        e = e[np.lexsort((e["n"], e["label"], e["token"]))]
         start = _text.runs(e["token"])
         mixed = np.minimum.reduceat(e["label"], start) != np.maximum.reduceat(e["label"], start)
         ends = np.append(start[1:], len(e))[: len(start)]
@@ -305,11 +305,15 @@ def _candidates(buckets: int, percent: int, star: bool):
                 pairs_a.append(a)
                 pairs_b.append(b)
                 continue
-            for i in range(s, z, CHUNK):  # sorted by size: chunks too far apart in size hold no pair
+            for i in range(s, z, CHUNK):
+                x = e[i : min(i + CHUNK, z)]
                 for j in range(i, z, CHUNK):
-                    if 100 * int(e["n"][min(i + CHUNK, z) - 1]) >= percent * int(e["n"][j]):
-                        left.append(e[i : min(i + CHUNK, z)].tobytes())
-                        right.append(e[j : min(j + CHUNK, z)].tobytes() if j != i else None)
+                    y = e[j : min(j + CHUNK, z)]
+                    one_label = x["label"][0] == y["label"][-1]  # sorted by label, so all between are of it
+                    apart = max(int(x["n"].min()), int(y["n"].min())) * percent > 100 * min(int(x["n"].max()), int(y["n"].max()))
+                    if not one_label and not apart:
+                        left.append(x.tobytes())
+                        right.append(y.tobytes() if j != i else None)
         a, b = _unique_pairs(np.concatenate(pairs_a), np.concatenate(pairs_b))
         whole = _frame(a, b, order)
         return pd.concat([whole, _frame([0] * len(left), [0] * len(left), order, left, right)]) if left else whole

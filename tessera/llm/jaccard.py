@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
-from tessera.llm._graph import components
+from tessera.llm._graph import components, with_least
 from tessera.llm._store import bounded_batches, stored
 
 PERCENT = 75
@@ -387,9 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
     final = components(star.unionByName(rest))
 
     members = table.select("doc_id", "n", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = stored(members.select("doc_id", "n", "label"))
-    first = members.where(F.col("n") > 0).groupBy("label").agg(F.min("doc_id").alias("first"))
-    out = members.join(first, "label", "left")
+    out = with_least(stored(members.select("doc_id", "n", "label")), ["label"], "doc_id", "first")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._graph import with_least
 from tessera.llm._store import bounded_batches, stored
 from tessera.llm.jaccard import BATCH_BYTES, OWNER_BITS, batch_rows, count_classes, gathered
 
@@ -427,9 +428,8 @@ def union(pairs: np.ndarray) -> np.ndarray:
 
 def copies(docs: DataFrame) -> DataFrame:
     """(uid): rows whose whole text a row of smaller doc_id has; ``docs`` holds two hashes t1, t2 of the text."""
-    ids = docs.select("uid", "doc_id", "t1", "t2")
-    first = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
-    return ids.join(first, ["t1", "t2"]).where(F.col("doc_id") > F.col("first")).select("uid").distinct()
+    ids = with_least(stored(docs.select("uid", "doc_id", "t1", "t2")), ["t1", "t2"], "doc_id", "first")
+    return ids.where(F.col("doc_id") > F.col("first")).select("uid").distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

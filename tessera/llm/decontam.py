@@ -31,6 +31,7 @@ _DIGIT = (_B >= 48) & (_B <= 57)
 _UPPER = (_B >= 65) & (_B <= 90)
 _WORD = _DIGIT | _UPPER | ((_B >= 97) & (_B <= 122)) | (_B >= 0x80)
 _STOP = np.isin(_B, [ord(c) for c in ".!?\n:;"])
+_EXACT = np.uint64(0x6A09E667F3BCC909)
 
 
 def _hash_words(words: str) -> np.ndarray:
@@ -44,10 +45,26 @@ def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
+def _wide(buf: np.ndarray, word: np.ndarray, edge: np.ndarray) -> None:
+    """Mark the bounds of Han, Kana, Thai, Lao, Burmese, Khmer and full-width characters in ``edge``; clear ``word`` at punctuation."""
+    lead = np.flatnonzero(buf >= 0xC2)
+    if not len(lead):
+        return
+    a, b = buf[lead], buf[np.minimum(lead + 1, len(buf) - 1)]
+    marks = (a == 0xC2) | (((a == 0xE2) | (a == 0xE3)) & (b == 0x80))
+    for k in range(3):
+        word[lead[marks & ((k < 2) | (a != 0xC2))] + k] = False
+    alone = ((a >= 0xE3) & (a <= 0xE9) & ~marks) | ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xEF) & ((b == 0xBC) | (b == 0xBD)))
+    alone |= ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F))) | ((a == 0xF0) & (b >= 0xA0))
+    edge[lead[alone]] = True
+    edge[lead[alone] + np.where(a[alone] == 0xF0, 4, 3)] = True
+
+
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, kind, hash) of the tokens of a block of texts.
 
-    A token is a run of letters, digits and non-ASCII bytes; a point or comma between digits belongs to it. It is a
+    A token is a run of letters, digits and non-ASCII bytes; a point or comma between digits belongs to it. Characters of
+    scripts without spaces are a token each; typographic quotes, dashes and spaces belong to none. A token is a
     number if it begins with a digit or is a number word, a unit if it stands after a number and in ``UNITS``, a name
     if it begins with a single capital and the text before it doesn't end a sentence. Hashes ignore ASCII case.
     """
@@ -59,6 +76,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     word[1:-1] |= mark
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
+    _wide(buf, word, edge)
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1] | edge[1:-1]
     last[:-1] &= ~word[1:] | edge[1:-1]
@@ -88,71 +106,92 @@ def _templates(kind: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.where(kind == LITERAL, hashed, marks[kind])
 
 
-def _window_hash(values: np.ndarray, width: int) -> np.ndarray:
-    n = max(0, len(values) - width + 1)
-    out = np.full(n, width, np.uint64)
-    p, _ = _text.powers(width + 2)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out += values[k : k + n] * p[k + 1]
-    return _text.mix(out)
+def _rolled(values: np.ndarray, widths: set[int]):
+    """(width, hash of the window at each place), shortest first."""
+    p, _ = _text.powers(WINDOW + 2)
+    sums = np.zeros(len(values), np.uint64)
+    for k in range(min(max(widths, default=0), len(values))):
+        with np.errstate(over="ignore"):
+            sums = sums[: len(values) - k] + values[k:] * p[k + 1]
+            if k + 1 in widths:
+                yield k + 1, _text.mix(sums + np.uint64(k + 1))
 
 
-def _windows(docs: DataFrame, id_column: str, widths: list[int], bits=None) -> DataFrame:
-    """(id, width, at, n_tokens, window, slots): windows of the texts; with ``bits``, those whose hash is in the filter."""
+SCHEMA = "id long, exact boolean, width int, at long, of long, worded boolean, window long, slots array<long>"
 
-    def run(batches):
-        held = None if bits is None else bits.value
-        for b in batches:
-            ids = b.column(0)
-            buf, offs = _text.buffers(b.column(1))
-            for lo, hi in _text.blocks(buf, offs):
-                owner, kind, hashed = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                values = _templates(kind, hashed)
-                begin = np.searchsorted(owner, np.arange(hi - lo + 1))
-                literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-                for width in widths:
-                    h = _window_hash(values, width)
-                    n = len(h)
-                    if not n:
-                        continue
-                    ok = owner[:n] == owner[width - 1 : width - 1 + n]
-                    ok &= (literal[width : width + n] - literal[:n]) * WINDOW >= MIN_LITERALS * width
-                    if held is not None:
-                        at = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                        ok &= ((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                    at = np.flatnonzero(ok)
-                    for s in range(0, len(at), 100_000):
-                        yield emit(ids, lo, owner, kind, hashed, begin, h, width, at[s : s + 100_000])
-
-    def emit(ids, lo, owner, kind, hashed, begin, h, width, at):
-        spot = at[:, None] + np.arange(width)
-        is_slot = kind[spot] != LITERAL
+
+def _rows(ids, exact, owner, kind, hashed, at, first, of, worded, window, width):
+    """Record batches of the windows at ``at``, whose places count from ``first``."""
+    for s in range(0, len(at), 100_000):
+        part = at[s : s + 100_000]
+        own = owner[part]
+        spot = part[:, None] + np.arange(width)
+        is_slot = (kind[spot] != LITERAL) & (not exact)
         sizes = np.concatenate([[0], np.cumsum(is_slot.sum(1))]).astype(np.int32)
         slots = pa.ListArray.from_arrays(pa.array(sizes), pa.array(hashed[spot][is_slot].view(np.int64)))
-        own = owner[at]
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(lo + own)), pa.array(np.full(len(at), width), pa.int32()), pa.array(at - begin[own], pa.int64()), pa.array(begin[own + 1] - begin[own], pa.int64()), pa.array(h[at].view(np.int64)), slots],
-            ["id", "width", "at", "n_tokens", "window", "slots"],
+        n = len(part)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(own)), pa.array(np.full(n, exact)), pa.array(np.full(n, width), pa.int32()), pa.array(part - first[own], pa.int64()), pa.array(of[own], pa.int64()), pa.array(worded[part]), pa.array(window[part].view(np.int64)), slots],
+            ["id", "exact", "width", "at", "of", "worded", "window", "slots"],
         )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text"))
-    return rows.mapInArrow(run, "id long, width int, at long, n_tokens long, window long, slots array<long>")
+
+def _ways(owner, kind, hashed):
+    """(exact, owner, kind, hash, value) of what windows are made of: raw tokens, then template tokens."""
+    return (True, owner, kind, hashed, _text.mix(hashed ^ _EXACT)), (False, owner, kind, hashed, _templates(kind, hashed))
 
 
-def _lengths(benchmark: DataFrame) -> list[int]:
-    """The lengths below ``WINDOW`` of benchmark texts that are too short for a window."""
+def _item_windows(items: DataFrame) -> DataFrame:
+    """Windows of ``WINDOW`` tokens, a shorter item as one: of raw tokens, and of template tokens where enough are literals.
+
+    Places count from the end of the item.
+    """
 
     def run(batches):
         for b in batches:
-            buf, offs = _text.buffers(b.column(0))
+            buf, offs = _text.buffers(b.column(1))
             for lo, hi in _text.blocks(buf, offs):
-                owner, _, _ = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                n = np.bincount(owner, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(n[n < WINDOW]).astype(np.int32))], ["n"])
+                ids = b.column(0).slice(lo, hi - lo)
+                for exact, owner, kind, hashed, values in _ways(*tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])):
+                    begin = np.searchsorted(owner, np.arange(hi - lo + 1))
+                    size = np.diff(begin)
+                    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+                    other = np.concatenate([[0], np.cumsum(kind != NUMBER)])
+                    for width, h in _rolled(values, set(range(1 if exact else MIN_SHORT, WINDOW + 1))):
+                        n = len(h)
+                        ok = (owner[:n] == owner[width - 1 :]) & (np.minimum(size, WINDOW)[owner[:n]] == width)
+                        if not exact:
+                            ok &= (literal[width:] - literal[:n]) * WINDOW >= MIN_LITERALS * width
+                        worded = other[width:] > other[:n]
+                        yield from _rows(ids, exact, owner, kind, hashed, np.flatnonzero(ok), begin[1:], size - width + 1, worded, h, width)
+
+    return items.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
+
+
+def _document_windows(docs: DataFrame, widths: dict[bool, set[int]], bits) -> DataFrame:
+    """Windows of the widths of each way whose hash is in the filter; a whole short item counts once a text on raw tokens."""
 
-    found = benchmark.select("text").mapInArrow(run, "n int").distinct().collect()  # at most WINDOW values
-    return sorted(r["n"] for r in found if r["n"] >= MIN_SHORT)
+    def run(batches):
+        held = bits.value
+        for b in batches:
+            buf, offs = _text.buffers(b.column(1))
+            for lo, hi in _text.blocks(buf, offs):
+                ids = b.column(0).slice(lo, hi - lo)
+                for exact, owner, kind, hashed, values in _ways(*tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])):
+                    begin = np.searchsorted(owner, np.arange(hi - lo + 1))
+                    for width, h in _rolled(values, widths[exact]):
+                        n = len(h)
+                        bit = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                        ok = ((held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+                        at = np.flatnonzero(ok & (owner[:n] == owner[width - 1 :]))
+                        if exact and width < WINDOW:
+                            at = at[np.lexsort((h[at], owner[at]))]
+                            new = np.ones(len(at), bool)
+                            new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (h[at[1:]] != h[at[:-1]])
+                            at = at[new]
+                        yield from _rows(ids, exact, owner, kind, hashed, at, begin, np.diff(begin), np.ones(n, bool), h, width)
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
@@ -187,40 +226,42 @@ def _filter(windows: DataFrame) -> np.ndarray:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, share, kind) of the documents that hold a benchmark item.
 
-    Windows of ``WINDOW`` template tokens with at least five eighths literals are joined by hash; an item of 4 to 7
-    tokens is one window, a shorter one is no evidence. Windows on one diagonal (same offset between document and
+    Windows are joined by hash, in two ways: of ``WINDOW`` raw tokens (an item of fewer is one window), and of template
+    tokens, at least five eighths literals (an item of 4 to 7 is one). Raw windows tell of verbatim copies of any item;
+    those of numbers alone are no evidence. Template windows on one diagonal (same offset between document and
     item) must map the item's slot values one to one onto the document's. A document holds an item if on a diagonal
-    ``MIN_WINDOWS`` windows agree, or ``MIN_SHARE`` of the item's, at least one. ``kind`` is ``verbatim`` if all slot values are
-    the item's own and ``reparameterised`` otherwise. Items with equal windows throughout count as the one of smallest id.
-    Documents send only windows that pass a filter of fixed size, so what shuffles follows the matches. Null texts and
-    ids match nothing; repeated doc_ids count as one document.
+    ``MIN_WINDOWS`` windows agree, or ``MIN_SHARE`` of the item's, at least one; the diagonal of the largest share is given.
+    ``kind`` is ``verbatim`` if all slot values are the item's own and ``reparameterised`` otherwise. Items of equal text
+    count as the one of smallest id. Documents send only windows that pass a filter of fixed size, so what shuffles
+    follows the matches. Null texts and ids match nothing; repeated doc_ids count as one document.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    short = _lengths(items)
-    own = _windows(items, "item_id", [*short, WINDOW])
-    own = stored(own.where((F.col("width") == WINDOW) | (F.col("n_tokens") == F.col("width"))))
+    own = stored(_item_windows(items))
+    widths: dict[bool, set[int]] = {True: set(), False: set()}
+    for r in own.select("exact", "width").distinct().collect():  # at most WINDOW values each
+        widths[r["exact"]].add(r["width"])
     bits = spark.sparkContext.broadcast(_filter(own))
-    theirs = _windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", [*short, WINDOW], bits)
-    item = own.select("window", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), (F.col("n_tokens") - F.col("width") + 1).alias("of"))
-    hit = theirs.withColumnRenamed("id", "doc_id").join(item, ["window", "width"])
+    theirs = _document_windows(docs.where(F.col("doc_id").isNotNull()), widths, bits)
+    item = own.select("window", "exact", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "of", "worded")
+    hit = theirs.select(F.col("id").alias("doc_id"), "exact", "at", "window", "slots").join(item, ["window", "exact"])
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    near = hit.select("doc_id", "item_id", "item_at", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), F.array_distinct(pairs).alias("pairs"))
+    near = hit.select("doc_id", "item_id", "exact", "item_at", "of", "worded", (F.col("at") - F.col("item_at")).alias("diagonal"), F.array_distinct(pairs).alias("pairs"))
     one_to_one = lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["i"]))) == F.size(p)) & (F.size(F.array_distinct(F.transform(p, lambda x: x["d"]))) == F.size(p))
     runs = (
         near.where(one_to_one(F.col("pairs")))
-        .groupBy("doc_id", "item_id", "diagonal")
-        .agg(F.count_distinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        .where(one_to_one(F.col("pairs")))
+        .groupBy("doc_id", "item_id", "exact", "diagonal")
+        .agg(F.count_distinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.max("worded").alias("worded"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .where(one_to_one(F.col("pairs")) & (F.col("worded") | ~F.col("exact")))
         .where((F.col("n_windows") >= MIN_WINDOWS) | (F.col("n_windows") >= MIN_SHARE * F.col("of")))
         .withColumn("verbatim", F.forall("pairs", lambda x: x["i"] == x["d"]))
     )
-    best = F.struct("n_windows", "verbatim", "of")
+    best = F.struct((F.col("n_windows") / F.col("of")).alias("share"), "verbatim", "n_windows")
     out = runs.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
     return out.select(
-        "doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), (F.col("b.n_windows") / F.col("b.of")).alias("share"),
+        "doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.share").alias("share"),
         F.when(F.col("b.verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
 

@@ -289,5 +289,17 @@ def test_verbatim_passages_against_brute_force(spark):
     assert got == {k for k in range(60) if any(i in texts[k] for i in items)}
 
 
+def test_verbatim_copies_of_any_item(spark):
+    items = [
+        "Compute 1 2 3 4 5 6 7 8 9 10 11 12 13 14", "Red Hot Chili Peppers Live In Hyde Park London", "quick brown fox", "Photosynthesis?",
+        "一列火车从北京出发开往上海需要多少小时", "電車は何時に東京駅を出発しますか", "รถไฟออกจากกรุงเทพกี่โมง", "what do Alice Bob Carol and Dave eat",
+    ]
+    texts = [f"we read that {x} and so on" for x in items[:4]] + [f"前文里说{items[4]}，然后继续", f"次の文は{items[5]}です", f"ถามว่า{items[6]}ครับ", f"they wrote “{items[7]}” there"]
+    texts += ["compute 1 2 3 4 5", "red hot peppers in London", "quick fox", "北京和上海的火车", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"]
+    got = decon(spark, texts, items)
+    assert set(got) == {(k, k) for k in range(8)}
+    assert all(r["kind"] == "verbatim" and r["share"] == 1 for r in got.values())
+
+
 def test_decontamination_of_nothing(spark):
     assert decon(spark, [], [ITEM]) == {} and decon(spark, [ITEM], []) == {}

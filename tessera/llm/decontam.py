@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
@@ -229,7 +229,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Windows are joined by hash, in two ways: of ``WINDOW`` raw tokens (an item of fewer is one window), and of template
     tokens, at least five eighths literals (an item of 4 to 7 is one). Raw windows tell of verbatim copies of any item;
     those of numbers alone are no evidence. Template windows on one diagonal (same offset between document and
-    item) must map the item's slot values one to one onto the document's. A document holds an item if on a diagonal
+    item) must map each slot value of the item to one of the document, which several may share: that of most windows, its own in
+    a tie; windows with another value don't count. A document holds an item if on a diagonal
     ``MIN_WINDOWS`` windows agree, or ``MIN_SHARE`` of the item's, at least one; the diagonal of the largest share is given.
     ``kind`` is ``verbatim`` if all slot values are the item's own and ``reparameterised`` otherwise. Items of equal text
     count as the one of smallest id. Documents send only windows that pass a filter of fixed size, so what shuffles
@@ -247,16 +248,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = _document_windows(docs.where(F.col("doc_id").isNotNull()), widths, bits)
     item = own.select("window", "exact", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "of", "worded")
     hit = theirs.select(F.col("id").alias("doc_id"), "exact", "at", "window", "slots").join(item, ["window", "exact"])
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    near = hit.select("doc_id", "item_id", "exact", "item_at", "of", "worded", (F.col("at") - F.col("item_at")).alias("diagonal"), F.array_distinct(pairs).alias("pairs"))
-    one_to_one = lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["i"]))) == F.size(p)) & (F.size(F.array_distinct(F.transform(p, lambda x: x["d"]))) == F.size(p))
+    pairs = F.array_distinct(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
+    run = ["doc_id", "item_id", "exact", "diagonal"]
+    near = hit.select("doc_id", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", F.xxhash64("item_slots").alias("own"), "of", "worded", pairs.alias("pairs"))
+    slot = near.repartition(*run).select(*near.columns[:-1], F.explode_outer("pairs").alias("p")).select("*", "p.i", "p.d")
+    slot = slot.withColumn("n", F.count("*").over(Window.partitionBy(*run, "i", "d")))
+    slot = slot.withColumn("to", F.max(F.struct("n", F.col("i") == F.col("d"), "d")).over(Window.partitionBy(*run, "i"))["d"])
+    same = F.coalesce(F.col("i") == F.col("d"), F.lit(True))
+    agrees = F.coalesce(F.col("to") == F.col("d"), F.lit(True))
+    windows = slot.groupBy(*run, "item_at", "own").agg(F.max("of").alias("of"), F.max("worded").alias("worded"), F.every(same).alias("same"), F.every(agrees).alias("agrees"))
     runs = (
-        near.where(one_to_one(F.col("pairs")))
-        .groupBy("doc_id", "item_id", "exact", "diagonal")
-        .agg(F.count_distinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.max("worded").alias("worded"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        .where(one_to_one(F.col("pairs")) & (F.col("worded") | ~F.col("exact")))
+        windows.where("agrees")
+        .groupBy(*run)
+        .agg(F.count_distinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.max("worded").alias("worded"), F.every("same").alias("verbatim"))
+        .where(F.col("worded") | ~F.col("exact"))
         .where((F.col("n_windows") >= MIN_WINDOWS) | (F.col("n_windows") >= MIN_SHARE * F.col("of")))
-        .withColumn("verbatim", F.forall("pairs", lambda x: x["i"] == x["d"]))
     )
     best = F.struct((F.col("n_windows") / F.col("of")).alias("share"), "verbatim", "n_windows")
     out = runs.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))

@@ -301,5 +301,21 @@ def test_verbatim_copies_of_any_item(spark):
     assert all(r["kind"] == "verbatim" and r["share"] == 1 for r in got.values())
 
 
+def test_slot_values_may_coincide_or_change_once(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    for k in range(10, 300, 15):
+        words[k] = "12"
+    long = " ".join(words)
+    several = " ".join("45" if w == "12" else w for w in words)
+    items = ["tom has 3 apples and buys 5 pears at the shop before he goes home", long]
+    once = lambda t, old: t[:400] + t[400:].replace(old, " 99 ", 1)
+    texts = ["x tom has 4 apples and buys 4 pears at the shop before he goes home y", once(long, " 12 "), once(several, " 45 ")]
+    got = decon(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 1)}
+    assert [r["kind"] for _, r in sorted(got.items())] == ["reparameterised", "verbatim", "reparameterised"]
+    assert got[(0, 0)]["share"] == 1 and all(0.9 < got[(k, 1)]["share"] < 1 for k in (1, 2))
+
+
 def test_decontamination_of_nothing(spark):
     assert decon(spark, [], [ITEM]) == {} and decon(spark, [ITEM], []) == {}

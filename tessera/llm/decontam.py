@@ -136,9 +136,24 @@ def _rows(ids, exact, owner, kind, hashed, at, first, of, worded, window, width)
         )
 
 
+def _units(owner, kind, hashed):
+    """Template tokens: every literal, and every run of slot tokens of one kind as one, whose hash is the run's."""
+    first = np.ones(len(kind), bool)
+    first[1:] = (kind[1:] == LITERAL) | (kind[1:] != kind[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    if len(at) == len(kind):
+        return owner, kind, hashed
+    unit = np.cumsum(first) - 1
+    place = (np.arange(len(kind)) - at[unit]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        values = np.add.reduceat(np.where(place > 0, _text.mix(hashed + place * _EXACT), hashed), at)
+    return owner[at], kind[at], values
+
+
 def _ways(owner, kind, hashed):
     """(exact, owner, kind, hash, value) of what windows are made of: raw tokens, then template tokens."""
-    return (True, owner, kind, hashed, _text.mix(hashed ^ _EXACT)), (False, owner, kind, hashed, _templates(kind, hashed))
+    units = _units(owner, kind, hashed)
+    return (True, owner, kind, hashed, _text.mix(hashed ^ _EXACT)), (False, *units, _templates(*units[1:]))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
@@ -227,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, share, kind) of the documents that hold a benchmark item.
 
     Windows are joined by hash, in two ways: of ``WINDOW`` raw tokens (an item of fewer is one window), and of template
-    tokens, at least five eighths literals (an item of 4 to 7 is one). Raw windows tell of verbatim copies of any item;
+    tokens, at least five eighths literals (an item of 4 to 7 is one); a run of slot tokens of one kind is one. Raw windows tell of verbatim copies of any item;
     those of numbers alone are no evidence. Template windows on one diagonal (same offset between document and
     item) must map each slot value of the item to one of the document, which several may share: that of most windows, its own in
     a tie; windows with another value don't count. A document holds an item if on a diagonal

@@ -317,5 +317,14 @@ def test_slot_values_may_coincide_or_change_once(spark):
     assert got[(0, 0)]["share"] == 1 and all(0.9 < got[(k, 1)]["share"] < 1 for k in (1, 2))
 
 
+def test_slot_values_of_any_length(spark):
+    longer = ITEM.replace("Boston", "New York").replace("Alice", "Mary Ann").replace("12", "twenty five")
+    item = "the boat with Carl Gustav Larsson and Eve sails one hundred fifty miles in ten hours, how fast does the boat sail with both of them"
+    shorter = item.replace("Carl Gustav Larsson", "Bo").replace("one hundred fifty", "90")
+    got = decon(spark, [f"so {longer} ok", longer, f"so {shorter} ok"], [ITEM, item])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)}
+    assert all(r["kind"] == "reparameterised" and r["n_windows"] >= 6 for r in got.values())
+
+
 def test_decontamination_of_nothing(spark):
     assert decon(spark, [], [ITEM]) == {} and decon(spark, [ITEM], []) == {}

@@ -60,13 +60,14 @@ def _wide(buf: np.ndarray, word: np.ndarray, edge: np.ndarray) -> None:
     edge[lead[alone] + np.where(a[alone] == 0xF0, 4, 3)] = True
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(buf: np.ndarray, offs: np.ndarray, quoted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, kind, hash) of the tokens of a block of texts.
 
     A token is a run of letters, digits and non-ASCII bytes; a point or comma between digits belongs to it. Characters of
     scripts without spaces are a token each; typographic quotes, dashes and spaces belong to none. A token is a
     number if it begins with a digit or is a number word, a unit if it stands after a number and in ``UNITS``, a name
-    if it begins with a single capital and the text before it doesn't end a sentence. Hashes ignore ASCII case.
+    if it begins with a single capital and the text before it doesn't end a sentence; the first word of a ``quoted`` text
+    doesn't begin one. Hashes ignore ASCII case.
     """
     n = len(buf)
     if not n:
@@ -86,7 +87,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
     before = np.concatenate([[0], end[:-1]]).astype(np.int64)
     new_text = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-    opens = new_text | (stops[start] > stops[before])
+    opens = np.where(new_text, not quoted, stops[start] > stops[before])
     capital = _UPPER[buf[start]]
     after = buf[np.minimum(start + 1, n - 1)]
     capital |= (buf[start] == 0xC3) & (after >= 0x80) & (after <= 0x9E)
@@ -159,26 +160,47 @@ def _ways(owner, kind, hashed):
 def _item_windows(items: DataFrame) -> DataFrame:
     """Windows of ``WINDOW`` tokens, a shorter item as one: of raw tokens, and of template tokens where enough are literals.
 
-    Places count from the end of the item.
+    Places count from the end of the item. An item that begins with a capital has its first template window a second time,
+    with the first word as a name, for documents that quote it inside a sentence.
     """
 
+    def windows(exact, owner, kind, hashed, values, n_rows, opening=None):
+        begin = np.searchsorted(owner, np.arange(n_rows + 1))
+        size = np.diff(begin)
+        literal = kind == LITERAL
+        if opening is not None:
+            literal[begin[:-1][opening]] = True  # as enough as where the word is one
+        literal = np.concatenate([[0], np.cumsum(literal)])
+        other = np.concatenate([[0], np.cumsum(kind != NUMBER)])
+        for width, h in _rolled(values, set(range(1 if exact else MIN_SHORT, WINDOW + 1))):
+            n = len(h)
+            ok = (owner[:n] == owner[width - 1 :]) & (np.minimum(size, WINDOW)[owner[:n]] == width)
+            if not exact:
+                ok &= (literal[width:] - literal[:n]) * WINDOW >= MIN_LITERALS * width
+            if opening is not None:
+                ok &= (np.arange(n) == begin[owner[:n]]) & opening[owner[:n]]
+            yield exact, owner, kind, hashed, np.flatnonzero(ok), begin[1:], size - width + 1, other[width:] > other[:n], h, width
+
     def run(batches):
         for b in batches:
             buf, offs = _text.buffers(b.column(1))
             for lo, hi in _text.blocks(buf, offs):
                 ids = b.column(0).slice(lo, hi - lo)
-                for exact, owner, kind, hashed, values in _ways(*tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])):
-                    begin = np.searchsorted(owner, np.arange(hi - lo + 1))
-                    size = np.diff(begin)
-                    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-                    other = np.concatenate([[0], np.cumsum(kind != NUMBER)])
-                    for width, h in _rolled(values, set(range(1 if exact else MIN_SHORT, WINDOW + 1))):
-                        n = len(h)
-                        ok = (owner[:n] == owner[width - 1 :]) & (np.minimum(size, WINDOW)[owner[:n]] == width)
-                        if not exact:
-                            ok &= (literal[width:] - literal[:n]) * WINDOW >= MIN_LITERALS * width
-                        worded = other[width:] > other[:n]
-                        yield from _rows(ids, exact, owner, kind, hashed, np.flatnonzero(ok), begin[1:], size - width + 1, worded, h, width)
+                part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                owner, kind, hashed = tokens(part, cut)
+                for way in _ways(owner, kind, hashed):
+                    for w in windows(*way, hi - lo):
+                        yield from _rows(ids, *w)
+                if not len(owner):
+                    continue
+                inside = tokens(part, cut, quoted=True)[1]
+                first = np.searchsorted(owner, np.unique(owner))
+                first = first[inside[first] != kind[first]]
+                kind[first] = inside[first]
+                opening = np.zeros(hi - lo, bool)
+                opening[owner[first]] = True
+                for w in windows(*_ways(owner, kind, hashed)[1], hi - lo, opening):
+                    yield from _rows(ids, *w)
 
     return items.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
 

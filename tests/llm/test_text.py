@@ -326,5 +326,16 @@ def test_slot_values_of_any_length(spark):
     assert all(r["kind"] == "reparameterised" and r["n_windows"] >= 6 for r in got.values())
 
 
+def test_reparameterised_items_inside_a_sentence(spark):
+    items = ["Tom has 3 apples and buys pears", "Find the sum of 12", "John Smith has 5 apples and buys more pears", "Compute how much Bob paid for 7 large cakes there"]
+    texts = [
+        "they asked (Tom has 4 apples and buys pears) again", "he said, Find the sum of 45, and left", "they say “Joan Smythe has 6 apples and buys more pears” here",
+        "we asked Compute how much Eve paid for 9 large cakes there again", "Tom has 4 apples and buys pears", "tom has 4 apples and buys pears", "so Compute how many cakes",
+    ]
+    got = decon(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 0)}
+    assert {r["kind"] for r in got.values()} == {"reparameterised"}
+
+
 def test_decontamination_of_nothing(spark):
     assert decon(spark, [], [ITEM]) == {} and decon(spark, [ITEM], []) == {}

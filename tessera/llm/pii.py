@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._store import stored
@@ -17,12 +17,14 @@ PATTERNS = {
 }
 #: A maximal run of identifier characters with a digit or an at sign: what a learned pattern may extract.
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
+#: A maximal run of digits over the separators of phones and cards, which a learned pattern of those may extract too.
+RUN = r"(?:\((?=[0-9+])|(?<![A-Za-z0-9@._%+-]))\+?[0-9](?:[\x20().-]*+[0-9])++"
 #: What a candidate must look like to be of a kind.
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
     "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$",
-    "card": r"^[0-9][0-9-]{11,22}[0-9]$",
-    "phone": r"^\+?[0-9][0-9.-]{5,17}[0-9]$",
+    "card": r"^[0-9][0-9-]{11,22}[0-9]$|^(?:[0-9][\x20-]?){12,18}[0-9]$",
+    "phone": r"^\+?[0-9][0-9.-]{5,17}[0-9]$|^\(?\+?(?:[0-9][\x20().-]*+){6,14}[0-9]$",
 }
 CONTEXT_CHARS = 48
 ROUNDS = 3
@@ -71,13 +73,15 @@ def matches(text: Column, pattern: str) -> tuple[Column, Column]:
 def positioned(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
     """Add ``name``: array of (start, end, m, left, right) of all matches, in code points.
 
-    ``left`` is the text before a match back to the one before, ``right`` the text after it, both cut to
-    ``CONTEXT_CHARS``.
+    ``left`` and ``right`` are the ``CONTEXT_CHARS`` of the text before and after a match, whatever matches stand in them.
     """
     pieces, found = matches(F.col(text), pattern)
     some = F.col(text).rlike(pattern)
     df = df.withColumn("_p", F.when(some, pieces)).withColumn("_m", F.when(some, found))
     df = df.withColumn("_l", F.transform("_p", lambda p: F.length(p))).withColumn("_k", F.transform("_m", lambda m: F.length(m)))
+    near = F.lit(CONTEXT_CHARS)  # so many matches with the pieces between them have as many characters at least
+    df = df.withColumn("_a", F.zip_with(F.slice("_p", 1, F.size("_m")), F.col("_m"), lambda p, m: F.concat(F.right(p, near), F.right(m, near))))
+    df = df.withColumn("_b", F.zip_with("_m", F.slice("_p", 2, F.size("_m")), lambda m, p: F.concat(F.left(m, near), F.left(p, near))))
     df = df.withColumn("_s", prefix_sums(F.zip_with(F.slice("_l", 1, F.size("_k")), F.col("_k"), lambda a, b: a + b)))
     spans = F.transform(
         F.col("_m"),
@@ -85,11 +89,11 @@ def positioned(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
             (F.col("_s")[i] + F.col("_l")[i]).cast("long").alias("start"),
             (F.col("_s")[i] + F.col("_l")[i] + F.col("_k")[i]).cast("long").alias("end"),
             m.alias("m"),
-            F.right(F.col("_p")[i], F.lit(CONTEXT_CHARS)).alias("left"),
-            F.left(F.col("_p")[i + 1], F.lit(CONTEXT_CHARS)).alias("right"),
+            F.right(F.concat(F.array_join(F.slice("_a", F.greatest(i - near + 1, F.lit(1)), F.least(i, near)), ""), F.right(F.col("_p")[i], near)), near).alias("left"),
+            F.left(F.concat(F.left(F.col("_p")[i + 1], near), F.array_join(F.slice("_b", i + 2, near), "")), near).alias("right"),
         ),
     )
-    return df.withColumn(name, F.when(some, spans)).drop("_p", "_m", "_l", "_k", "_s")
+    return df.withColumn(name, F.when(some, spans)).drop("_p", "_m", "_l", "_k", "_s", "_a", "_b")
 
 
 def _pattern_of(left: Column, right: Column) -> Column:
@@ -142,14 +146,19 @@ def extract(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned) of every row.
 
     Base spans are those of ``PATTERNS`` whose check holds, each kind on its own. The bootstrapping adds
-    identifier-like strings (``CANDIDATE``) outside all base spans, of a kind's shape, in a context that a learned pattern has.
+    identifier-like strings (``CANDIDATE``, ``RUN``) outside all base spans, of a kind's shape, in a context that a learned pattern
+    has; those within a longer one of their kind are left out.
     ``spans`` joins all, ``base_sha256`` digests the base ones; ``n_<kind>`` counts base spans. Null and empty texts have
     none (digest of the empty string). Rows with equal id and text share their spans.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
     found = base_spans(rows)
-    found = positioned(found, "text", CANDIDATE, "cand").drop("text")
+    found = positioned(found, "text", CANDIDATE, "cand")
+    found = positioned(found, "text", RUN, "runs").drop("text")
+    spaced = F.filter("runs", lambda r: r["m"].rlike(r"[\x20()]") & ~r["right"].rlike(r"^[A-Za-z0-9@_%+]"))
+    none = F.array().cast(found.schema["cand"].dataType)
+    found = found.withColumn("cand", F.concat(F.coalesce("cand", none), F.coalesce(spaced, none))).drop("runs")
     found = stored(found)
 
     typed = None
@@ -166,6 +175,8 @@ def extract(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 
     good = learned(instances).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     new = instances.where(~F.col("seed")).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).join(good, ["kind", "pattern", "salt"])
+    before = Window.partitionBy("uid", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end")))
     added = new.groupBy("uid").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
 
     number = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))

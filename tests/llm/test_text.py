@@ -225,6 +225,29 @@ def test_patterns_discover_unseen(spark):
     assert out[100]["n_email"] == 0 and out[100]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_patterns_discover_spaced_numbers(spark):
+    rows = [f"call my number +1 (555) 010-{1000 + i} now" for i in range(30)] + [f"pay with card 4111 1111 1111 1111 please {i}" for i in range(9)]
+    rows += [f"pay with card {c} please" for c in ("4012888888881881", "5555 5555 5555 4444", "3782 822463 10005", "6011 1111 1111 1117", "5105105105105100")]
+    more = ["(017) 555-7713", "555 123 4567", "017.555 7713", "555-010-7777"]
+    first = len(rows)
+    rows += [f"call my number {x} now" for x in more] + ["pay with card 4111 1111 1111 1112 please", "call my room 555 123 4567 now", "born 1980, call my number (017) 555-7713 now, or 5 of 6"]
+    rows += ["in 1980 please call my number 5551237777 now"]
+    out = {r["doc_id"]: r for r in pii.extract(frame(spark, rows)).collect()}
+    for k, x in enumerate(more):
+        assert out[first + k]["spans"] == f"phone:15:{15 + len(x)}"
+    assert out[first + 4]["spans"] == "card:14:33" and out[first + 5]["n_learned"] == 0
+    assert out[first + 6]["spans"] == "phone:26:40" and out[first + 7]["spans"] == "phone:30:40"
+
+
+def test_contexts_are_fixed_windows(spark):
+    text = "é 1 22, phone 1980 x " * 9 + "🙂 7"
+    for pattern in (pii.CANDIDATE, r"[0-9]"):
+        row = pii.positioned(frame(spark, [text, "1" * 70, "none"]), "text", pattern, "x").orderBy("doc_id").collect()
+        for t, r in zip((text, "1" * 70), row, strict=False):
+            want = [(m.start(), m.end(), t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]) for m in re.finditer(pattern, t)]
+            assert [(s["start"], s["end"], s["left"], s["right"]) for s in r["x"]] == want
+
+
 def test_pii_of_nothing_and_native(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.extract(empty).count() == 0

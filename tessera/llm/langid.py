@@ -18,7 +18,8 @@ TABLE_BITS = 16
 GROUP_BYTES = 3 << 20
 SWITCH_PENALTY = 8.0
 MIN_SCRIPT_SHARE = 0.02
-MAX_LANGS = 200
+#: With more languages than this, tables and groups of texts get smaller, so that memory stays what it is here.
+FULL_LANGS = 200
 UNKNOWN = "und"
 
 #: Script of a letter by its first UTF-8 byte: (first byte, last byte, script number). 0 is no letter.
@@ -45,6 +46,10 @@ class Model:
     allowed: np.ndarray  # bool [SCRIPTS, langs]
     prior: int
 
+    @property
+    def bits(self) -> int:
+        return len(self.trigram).bit_length() - 1
+
 
 @dataclass
 class Words:
@@ -57,7 +62,7 @@ class Words:
     lower: np.ndarray
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
+def words_of(buf: np.ndarray, offs: np.ndarray, bits: int = TABLE_BITS) -> Words:
     low = _text.LOWER[buf]
     if len(low) > 1:  # Latin-1 capitals
         upper = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E)
@@ -71,7 +76,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
         inner = offs[(offs > 0) & (offs < len(wide))]
         before[inner], after[inner - 1] = 32, 32
     gram = (before << np.uint32(16)) | (wide << np.uint32(8)) | after
-    gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
+    gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
     script_at = _SCRIPT[low]
     letters = np.flatnonzero(script_at)
     first = np.searchsorted(letters, start)
@@ -80,22 +85,24 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
     script = np.zeros(len(start), np.int8)
     script[inside] = script_at[letters[first[inside]]]
     owner = np.searchsorted(offs, start, "right") - 1
-    return Words(start, end, owner, (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), script, gram, low)
+    return Words(start, end, owner, (h >> np.uint64(64 - bits)).astype(np.int64), script, gram, low)
 
 
 def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
     """Fit on about ``sample`` labelled rows (``text``, ``lang``), chosen by a hash of the text; None without any.
 
-    Counts are summed per language where the rows are; the driver gets two tables of 2**16 counts a language.
+    Counts are summed per language where the rows are; the driver gets two tables of 2**16 counts a language, of fewer from
+    ``FULL_LANGS`` languages on.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    total = rows.count()
+    total, langs = rows.agg(F.count("*"), F.count_distinct("lang")).first()
     if not total:
         return None
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(total)) < sample)
-    size = 1 << TABLE_BITS
+    bits = max(1, TABLE_BITS - (-(-min(langs, sample) // FULL_LANGS) - 1).bit_length())
+    size = 1 << bits
 
     def run(batches):
         held: dict[str, list[np.ndarray]] = {}
@@ -104,7 +111,7 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
             buf, offs = _text.buffers(b.column(1))
             for lo, hi in _text.blocks(buf, offs):
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                w = words_of(part, cut)
+                w = words_of(part, cut, bits)
                 own = np.repeat(np.arange(hi - lo), np.diff(cut))
                 for lang in set(langs[lo:hi]):
                     mine = np.array([x == lang for x in langs[lo:hi]])
@@ -126,9 +133,7 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
         return pd.DataFrame(out)
 
     schema = "lang string, grams binary, words binary, scripts binary"
-    found = sorted(rows.mapInArrow(run, schema).groupBy("lang").applyInPandas(add, schema).limit(MAX_LANGS + 1).collect(), key=lambda r: r["lang"])
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    found = sorted(rows.mapInArrow(run, schema).groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
     if not found:
         return train(docs.where(F.col("text").isNotNull()).limit(sample), sample) if total > sample else None
     counts = [np.stack([np.frombuffer(r[c], np.int64) for r in found], 1).astype(float) for c in ("grams", "words", "scripts")]
@@ -157,9 +162,9 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
     order = np.argsort(-counts, kind="stable")
     at = (np.cumsum(counts) - counts)[order]
     sizes = counts[order]
-    best_before = np.zeros(n, np.int8)
+    best_before = np.zeros(n, np.int32)
     switched = np.zeros((n, langs), bool)
-    labels = np.zeros(n, np.int8)
+    labels = np.zeros(n, np.int32)
     if not n:
         return labels
     v = np.zeros((len(counts), langs), np.float32)
@@ -176,7 +181,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
             np.maximum(now, top, out=now)
         now += scores[i]
         now -= now.max(1, keepdims=True)
-    last = v.argmax(1).astype(np.int8)
+    last = v.argmax(1).astype(np.int32)
     for t in range(int(sizes[0]) - 1, -1, -1):
         m = live[t]
         i = at[:m] + t
@@ -200,14 +205,14 @@ def label_texts(model: Model, buf: np.ndarray, offs: np.ndarray) -> Labels:
     rows, k = len(offs) - 1, len(model.langs)
     parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32),) * 3 + (np.zeros((0, k), np.float32), np.zeros(0, np.int32))]
     for lo, hi in _text.blocks(buf, offs):
-        w = words_of(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        w = words_of(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], model.bits)
         weight = np.where((w.script > 0) & model.allowed[w.script].any(1), w.end - w.start, 0)
         small = lambda x: x.astype(np.int32)
         parts.append((small(w.start + offs[lo]), small(w.end + offs[lo]), small(w.owner + lo), word_scores(model, w), small(weight)))
     start, end, owner, scores, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     labels = viterbi(scores, np.bincount(owner, minlength=rows))
-    share = np.bincount(owner * k + labels, weights=weight, minlength=rows * k).reshape(rows, k)
+    share = np.bincount(owner.astype(np.int64) * k + labels, weights=weight, minlength=rows * k).reshape(rows, k)
     return Labels(start, end, owner, labels, share)
 
 
@@ -232,7 +237,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
             column = b.column(at)
             buf, offs = _text.buffers(column)
             preds, scores, all_spans = [], [], []
-            for lo, hi in _text.blocks(buf, offs, GROUP_BYTES):
+            group = GROUP_BYTES if model is None else GROUP_BYTES * FULL_LANGS // max(FULL_LANGS, len(model.langs))
+            for lo, hi in _text.blocks(buf, offs, group):
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part], dtype=np.int32)])
                 has = letters[cut[1:]] > letters[cut[:-1]]

@@ -163,6 +163,16 @@ def test_no_training_rows(spark):
     assert langid.identify(df.limit(0), None).count() == 0
 
 
+def test_hundreds_of_languages(spark):
+    rng = random.Random(6)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for _ in range(230)]
+    rows = [(k * 3 + j, " ".join(rng.choices(w, k=12)), f"l{k:03}") for k, w in enumerate(words) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.langs) == 230 and model.bits == langid.TABLE_BITS - 1
+    assert langid.identify(df, model).where("lang_pred = lang").count() >= 0.99 * len(rows)
+
+
 def test_training_sample_is_bounded(spark):
     model = langid.train(speech(spark), sample=60)
     assert set(model.langs) <= set(SPEECH) and model.trigram.shape[0] == 1 << langid.TABLE_BITS

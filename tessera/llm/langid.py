@@ -22,13 +22,19 @@ MIN_SCRIPT_SHARE = 0.02
 FULL_LANGS = 200
 UNKNOWN = "und"
 
-#: Script of a letter by its first UTF-8 byte: (first byte, last byte, script number). 0 is no letter.
+#: Script of a letter by its first UTF-8 byte: (first byte, last byte, script number). 0 is no letter, or ``_SECOND`` tells.
 _RANGES = (
     (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1),  # Latin
     (0xCE, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 4), (0xD7, 0xD7, 5), (0xD8, 0xDB, 6),  # Greek .. Arabic
     (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11),  # Indic and Thai .. Hangul
+    (0xD6, 0xD6, 4), (0xDC, 0xDC, 12), (0xDD, 0xDD, 13), (0xDE, 0xDE, 14), (0xDF, 0xDF, 15),  # Armenian, Syriac .. N'Ko
 )
-SCRIPTS = 12
+#: Where a first byte also begins punctuation or emoji: (first byte, least and last second byte, script number).
+_SECOND = (
+    (0xE2, 0xB0, 0xB7, 16), (0xEF, 0xAD, 0xB7, 17), (0xEF, 0xBA, 0xBA, 17),  # Glagolitic .. Tifinagh, Arabic forms
+    (0xF0, 0x90, 0x9B, 18), (0xF0, 0x9E, 0x9E, 19), (0xF0, 0xA0, 0xB3, 10),  # astral scripts, Adlam and others, Han
+)
+SCRIPTS = 20
 _SCRIPT = np.zeros(256, np.int8)
 for _a, _b, _s in _RANGES:
     _SCRIPT[_a : _b + 1] = _s
@@ -78,6 +84,9 @@ def words_of(buf: np.ndarray, offs: np.ndarray, bits: int = TABLE_BITS) -> Words
     gram = (before << np.uint32(16)) | (wide << np.uint32(8)) | after
     gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
     script_at = _SCRIPT[low]
+    for a, b, c, number in _SECOND:
+        lead = np.flatnonzero(low[:-1] == a)
+        script_at[lead[(low[lead + 1] >= b) & (low[lead + 1] <= c)]] = number
     letters = np.flatnonzero(script_at)
     first = np.searchsorted(letters, start)
     inside = first < len(letters)

@@ -173,6 +173,17 @@ def test_hundreds_of_languages(spark):
     assert langid.identify(df, model).where("lang_pred = lang").count() >= 0.99 * len(rows)
 
 
+def test_scripts_of_rare_first_bytes(spark):
+    rng = random.Random(8)
+    letters = {"syr": range(0x712, 0x72D), "dv": range(0x780, 0x7A6), "nqo": range(0x7CA, 0x7EB), "zgh": range(0x2D30, 0x2D68), "ff": range(0x1E922, 0x1E944), "got": range(0x10330, 0x1034A)}
+    make = lambda k: " ".join("".join(chr(rng.choice(letters[k])) for _ in range(3)) for _ in range(12))
+    rows = [(k * 10 + j, make(lang), lang) for k, lang in enumerate(letters) for j in range(5)]
+    rows += [(k, "“" + sentence(rng, "en", 20) + "” 🙂 – " + sentence(rng, "en", 5), "en") for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(df, langid.train(df)).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 for r in out)
+
+
 def test_training_sample_is_bounded(spark):
     model = langid.train(speech(spark), sample=60)
     assert set(model.langs) <= set(SPEECH) and model.trigram.shape[0] == 1 << langid.TABLE_BITS

@@ -54,6 +54,40 @@ def test_topk_prunes_but_keeps_all(spark, monkeypatch):
     assert run(spark, rows, 3, max_pivots=16) == brute(rows, 3)
 
 
+def sent_rows(spark, rows, k=10):
+    """(rows replicated, blocks)."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    assigned, _, tests, pivots, dim, chunks = knn._plan(df, F.col("vec_id") % 100 == 0, k, "vec_id", "embedding", knn.MAX_PIVOTS)
+    out = knn.replicate(assigned, tests, pivots, dim, chunks).collect()
+    return sum(len(knn._unpack([r["payload"]], dim)[0]) for r in out), len({t[0] for t in tests})
+
+
+def test_topk_replicates_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.standard_normal((3000, 16)))]
+    n, blocks = sent_rows(spark, rows)
+    assert blocks <= math.ceil(30 / 8) and n <= blocks * len(rows)
+
+
+def test_topk_prunes_clusters(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(5)
+    centres = 20 * rng.standard_normal((8, 16))
+    rows = [(i, [float(x) for x in centres[i % 8] + 0.05 * rng.standard_normal(16)]) for i in range(3001)]
+    n, blocks = sent_rows(spark, rows)
+    assert n < 0.5 * blocks * len(rows)
+    assert run(spark, rows) == brute(rows, 10)
+
+
+def test_pack_widths():
+    ids = np.array([5, -7])
+    for top in (3.0, 2.0**20, 2.0**40):
+        x = np.array([[top, -1.0], [0.0, -top]])
+        got_ids, got = knn._unpack([knn._pack(ids, x), knn._pack(ids[:1], x[:1])], 2)
+        assert got_ids.tolist() == [5, -7, 5] and (got == np.concatenate([x, x[:1]])).all()
+
+
 def test_topk_small_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(100, [1.0])]) == []

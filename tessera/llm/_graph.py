@@ -85,15 +85,19 @@ def components(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int =
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def with_least(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """``rows`` with the least ``value`` of their class, as ``out``; ``rows`` is a stored table, null keys match nothing.
+def with_value(rows: DataFrame, keys: list[str], values: DataFrame, out: str, count: str) -> DataFrame:
+    """``rows`` with ``out`` of ``values`` (keys, out, count: rows of that key); both are stored tables, null keys match nothing.
 
-    Classes of more than a thousandth of the rows number under a thousand, so they are broadcast and their rows stay where
-    they are; the rest is joined by key, and no task of that join gets more than such a share of one class.
+    Keys of more than a thousandth of the rows number under a thousand, so they are broadcast and their rows stay where
+    they are; the rest is joined by key, and no task of that join gets more than such a share of one key.
     """
     cut = max(1000, rows.count() // 1000)
-    least = rows.groupBy(*keys).agg(F.min(value).alias(out), F.count("*").alias("_n"))
-    hot = least.where(F.col("_n") > cut).select(*keys, out, F.lit(True).alias("_hot"))
+    hot = values.where(F.col(count) > cut).select(*keys, out, F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    cold = marked.where(F.col("_hot").isNull()).drop(out, "_hot").join(least.where(F.col("_n") <= cut).drop("_n"), keys, "left")
+    cold = marked.where(F.col("_hot").isNull()).drop(out, "_hot").join(values.where(F.col(count) <= cut).drop(count), keys, "left")
     return marked.where(F.col("_hot")).drop("_hot").select(cold.columns).unionByName(cold)
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` (a stored table) with the least ``value`` of their keys, as ``out``."""
+    return with_value(rows, keys, rows.groupBy(*keys).agg(F.min(value).alias(out), F.count("*").alias("_n")), out, "_n")

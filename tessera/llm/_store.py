@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for helper columns that none of ``taken`` has, whatever its case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Let Python workers of this session get at most ``rows`` texts at once; Spark's default is ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -6,10 +6,13 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 1. Of equal texts the one of smallest id stands for all: the others are repeats from end to end.
 2. Anchors are exchanged between batches of texts; those found in one text only are done.
 3. Documents cut the neighbourhoods of shared anchors: the windows of one anchor and the bytes they cover. They go to
-   shards by the anchor. Of equal neighbourhoods in a batch only those of the smallest id go, the others are all repeats.
+   shards by the anchor. Of neighbourhoods of a batch that are equal byte by byte only those of the smallest id go, the others
+   are all repeats.
 4. A shard's neighbourhoods form one text. A large shard is cut into parts that get a suffix array each; windows of one
    part are looked up in the sorted windows of the others by binary search. Neighbours in a suffix array with a common
    prefix of ``LENGTH`` bytes are equal windows; the smallest id among them keeps its own.
+
+A row is known by its doc_id and a hash of its text, texts are equal by two such hashes (128 bits), the rest by their bytes.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import types as T
 
 from tessera.llm import _text
 from tessera.llm._graph import with_least
-from tessera.llm._store import bounded_batches, stored
-from tessera.llm.jaccard import BATCH_BYTES, OWNER_BITS, batch_rows, count_classes, gathered
+from tessera.llm._store import bounded_batches, fresh, stored
+from tessera.llm.jaccard import BATCH_BYTES, batch_rows, count_classes, gathered
 
 LENGTH = 50
 GRAM = 26
@@ -36,6 +39,8 @@ PART_BYTES = 2 << 20
 SHARD_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
 LANES = 1 << 15
+TOKEN_BITS = 48
+_SPARE = np.uint64(64 - TOKEN_BITS)
 #: A difference of two 8-byte words is below the k-th bound if their first k+1 bytes are equal.
 _BELOW = np.array([1 << (56 - 8 * k) for k in range(8)], np.uint64)
 
@@ -219,7 +224,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     following = np.append(np.flatnonzero(new | ~whole), n)
     end = following[np.searchsorted(following, first, "right")]
     # least values crowd at zero; mixed again, they spread over the buckets
-    return owner[first], _text.mix(own_value[where[first]]) >> np.uint64(64 - _text.TOKEN_BITS), first, end - first
+    return owner[first], _text.mix(own_value[where[first]]) >> np.uint64(64 - TOKEN_BITS), first, end - first
 
 
 def _pieces(buf: np.ndarray, offs: np.ndarray):
@@ -234,25 +239,25 @@ def _pieces(buf: np.ndarray, offs: np.ndarray):
 
 
 def _send(docs: DataFrame, buckets: int) -> DataFrame:
-    """The distinct anchors of each text; rows are (uid, doc_id, text, t1). Equal texts are one class; the least id sends."""
+    """The distinct anchors of each text; rows are (uid, doc_id, text, t2). Equal texts are one class; the least id sends."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             turn = b.column(1).to_numpy(zero_copy_only=False)
-            sigs = _text.mix(b.column(4).to_numpy(zero_copy_only=False).view(np.uint64))
+            sigs = np.stack([ids, b.column(4).to_numpy(zero_copy_only=False)], 1).view(np.uint64)
             buf, offs = _text.buffers(b.column(2))
             for lo, hi in _text.blocks(buf, offs, BATCH_BYTES):
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 keys = [np.zeros(0, np.uint64)]
                 for base, x, c, _ in _pieces(part, cut):
                     owner, token, _, _ = anchors(x, c)
-                    keys.append(_text.distinct(((base + owner).astype(np.uint64) << np.uint64(_text.TOKEN_BITS)) | token))
+                    keys.append(_text.distinct(((base + owner).astype(np.uint64) << np.uint64(TOKEN_BITS)) | token))
                 keys = _text.distinct(np.concatenate(keys))
-                owner, token = (keys >> np.uint64(_text.TOKEN_BITS)).astype(np.int64), keys & np.uint64((1 << _text.TOKEN_BITS) - 1)
+                owner, token = (keys >> np.uint64(TOKEN_BITS)).astype(np.int64), keys & np.uint64((1 << TOKEN_BITS) - 1)
                 stamp = b.column(3)[lo].as_py()
                 digest = hashlib.blake2b(ids[lo:hi].tobytes() + stamp.to_bytes(8, "little", signed=True), digest_size=8).digest()
-                rows = list(batch_rows(ids[lo:hi], np.ones(hi - lo, bool), owner, token, int.from_bytes(digest, "little") >> 1, buckets, sigs[lo:hi], turn[lo:hi]))
+                rows = list(batch_rows(ids[lo:hi], np.ones(hi - lo, bool), owner, token << _SPARE, int.from_bytes(digest, "little") >> 1, buckets, sigs[lo:hi], turn[lo:hi]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                     ["bucket", "kind", "batch", "payload"],
@@ -260,19 +265,36 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
                 del keys, owner, token, rows
                 _text.release()
 
-    rows = docs.select("uid", "doc_id", "text", F.monotonically_increasing_id().alias("at"), "t1")
+    rows = docs.select("uid", "doc_id", "text", F.monotonically_increasing_id().alias("at"), "t2")
     return rows.mapInArrow(run, "bucket int, kind int, batch long, payload binary")
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """(uid, tokens): the shared anchors of a batch's texts."""
-    meta, keys, _ = gathered(group)
-    owner = (keys & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64)
-    order = np.argsort((owner.astype(np.uint64) << np.uint64(_text.TOKEN_BITS)) | (keys >> np.uint64(OWNER_BITS)))
-    owner, token = owner[order], (keys >> np.uint64(OWNER_BITS))[order]
+    """(doc_id, uid, tokens): the shared anchors of a batch's texts."""
+    meta, token, owner, _ = gathered(group)
+    token = token >> _SPARE
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token)
+    owner, token = owner[order], token[order]
     start = _text.runs(owner)
     ends = np.append(start[1:], len(owner))[: len(start)]
-    return pd.DataFrame({"uid": meta[0].view(np.int64)[owner[start]], "tokens": [token[a:z].tobytes() for a, z in zip(start, ends, strict=True)]})
+    of = lambda plane: meta[plane].view(np.int64)[owner[start]]
+    return pd.DataFrame({"doc_id": of(6), "uid": of(0), "tokens": [token[a:z].tobytes() for a, z in zip(start, ends, strict=True)]})
+
+
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether ``size`` bytes (one at least) from each of the places ``a`` equal those from ``b``."""
+    out = np.zeros(len(a), bool)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        base = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + step, "right")))
+        n = size[lo:hi]
+        start = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(start, n)
+        out[lo:hi] = np.logical_and.reduceat(text[np.repeat(a[lo:hi], n) + within] == text[np.repeat(b[lo:hi], n) + within], start)
+        lo = hi
+    return out
 
 
 ENTRY = np.dtype([("doc", "i8"), ("uid", "i8"), ("first", "u4"), ("windows", "u1")])
@@ -291,7 +313,7 @@ def unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return e, np.frombuffer(raw, np.uint8, offset=at)
 
 
-SPAN = np.dtype([("uid", "i8"), ("start", "i8"), ("end", "i8")])
+SPAN = np.dtype([("doc", "i8"), ("uid", "i8"), ("start", "i8"), ("end", "i8")])
 
 
 def _cut(shards: int):
@@ -304,8 +326,8 @@ def _cut(shards: int):
         entries, contents, tokens, texts = [np.zeros(0, ENTRY)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for lo, part, cut, shift in _pieces(buf, offs):
             owner, token, first, windows = anchors(part, cut)
-            held = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(lists[lo + r].as_py(), np.uint64) | np.uint64(r << _text.TOKEN_BITS) for r in range(len(cut) - 1))])
-            mine = (owner.astype(np.uint64) << np.uint64(_text.TOKEN_BITS)) | token
+            held = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(lists[lo + r].as_py(), np.uint64) | np.uint64(r << TOKEN_BITS) for r in range(len(cut) - 1))])
+            mine = (owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token
             spot = np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))
             keep = held[spot] == mine if len(held) else np.zeros(len(mine), bool)
             owner, token, first, windows = owner[keep], token[keep], first[keep], windows[keep]
@@ -330,11 +352,12 @@ def _cut(shards: int):
             begin = np.cumsum(size) - size
             order = np.lexsort((e["doc"], content))
             start = _text.runs(content[order])
-            least = np.repeat(e["doc"][order][start], np.diff(np.append(start, len(order))))
-            known = e["doc"][order] > least
+            first = np.repeat(order[start], np.diff(np.append(start, len(order))))
+            known = (e["doc"][order] > e["doc"][first]) & (size[order] == size[first])
+            known[known] = same_bytes(text, begin[order[known]], begin[first[known]], size[order[known]])
             x = e[order[known]]
             spans = np.zeros(len(x), SPAN)
-            spans["uid"], spans["start"] = x["uid"], x["first"]
+            spans["doc"], spans["uid"], spans["start"] = x["doc"], x["uid"], x["first"]
             spans["end"] = spans["start"] + x["windows"] + LENGTH - 1
             rows = [(int(spans["uid"][0]) % shards, 1, spans.tobytes())] if len(spans) else []
             at = order[~known]
@@ -358,7 +381,7 @@ def _cut(shards: int):
 
 
 def _solve(group: pd.DataFrame) -> pd.DataFrame:
-    """(uid, spans) of the repeated byte ranges of a shard's documents, packed as pairs of start and end."""
+    """(doc_id, uid, spans) of the repeated byte ranges of a shard's documents, packed as pairs of start and end."""
     spans = [np.frombuffer(p, SPAN) for p in group.loc[group["kind"] == 1, "payload"]]
     entries, texts = [np.zeros(0, ENTRY)], [np.zeros(0, np.uint8)]
     for p in group.loc[group["kind"] == 0, "payload"]:
@@ -378,6 +401,12 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
         which = np.empty(len(e), np.int64)
         which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
         rep = order[start]
+        own = size[rep[which]]
+        unlike = np.flatnonzero(own != size)
+        equal = np.flatnonzero(own == size)
+        unlike = np.concatenate([unlike, equal[~same_bytes(text, begin[equal], begin[rep[which[equal]]], size[equal])]])
+        which[unlike] = len(rep) + np.arange(len(unlike))
+        rep = np.concatenate([rep, unlike])
         own = size[rep]
         base = np.cumsum(own) - own
         joined = text[np.arange(own.sum()) - np.repeat(base - begin[rep], own)]
@@ -396,24 +425,25 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
             tail = gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]])
             s, z = np.flatnonzero(head), np.flatnonzero(tail)
             found = np.zeros(len(s), SPAN)
-            found["uid"], found["start"] = e["uid"][row[s]], e["first"][row[s]] + within[s]
+            found["doc"], found["uid"], found["start"] = e["doc"][row[s]], e["uid"][row[s]], e["first"][row[s]] + within[s]
             found["end"] = e["first"][row[z]] + within[z] + LENGTH
             spans.append(found)
     out = np.concatenate(spans) if spans else np.zeros(0, SPAN)
-    order = np.lexsort((out["start"], out["uid"]))
+    order = np.lexsort((out["start"], out["uid"], out["doc"]))
     out = out[order]
     # join what overlaps, so that a document's rows from this shard are few
-    reach = np.zeros(0, bool)
-    if len(out):
-        reach = np.concatenate([[True], (out["uid"][1:] != out["uid"][:-1]) | (out["start"][1:] > out["end"][:-1])])
+    new = np.ones(len(out), bool)
+    new[1:] = (out["uid"][1:] != out["uid"][:-1]) | (out["doc"][1:] != out["doc"][:-1])
+    reach = new.copy()
+    reach[1:] |= out["start"][1:] > out["end"][:-1]
     starts = np.flatnonzero(reach)
     end = np.maximum.reduceat(out["end"], starts) if len(starts) else out["end"]
     pairs = np.stack([out["start"][starts], end], 1)
-    uid = out["uid"][starts]
-    heads = _text.runs(uid)
-    tails = np.append(heads[1:], len(uid))[: len(heads)]
+    heads = np.flatnonzero(new[starts])
+    tails = np.append(heads[1:], len(starts))[: len(heads)]
     _text.release()
-    return pd.DataFrame({"uid": uid[heads], "spans": [pairs[a:z].tobytes() for a, z in zip(heads, tails, strict=True)]})
+    first = out[starts[heads]]
+    return pd.DataFrame({"doc_id": first["doc"], "uid": first["uid"], "spans": [pairs[a:z].tobytes() for a, z in zip(heads, tails, strict=True)]})
 
 
 def union(pairs: np.ndarray) -> np.ndarray:
@@ -427,44 +457,48 @@ def union(pairs: np.ndarray) -> np.ndarray:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(uid): rows whose whole text a row of smaller doc_id has; ``docs`` holds two hashes t1, t2 of the text."""
-    ids = with_least(stored(docs.select("uid", "doc_id", "t1", "t2")), ["t1", "t2"], "doc_id", "first")
-    return ids.where(F.col("doc_id") > F.col("first")).select("uid").distinct()
+    """(doc_id, uid): rows whose whole text a row of smaller doc_id has; ``docs`` holds two hashes uid, t2 of the text."""
+    ids = with_least(stored(docs.select("doc_id", "uid", "t2")), ["uid", "t2"], "doc_id", "first")
+    return ids.where(F.col("doc_id") > F.col("first")).select("doc_id", "uid").distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(uid, spans): byte ranges to remove, by ``uid`` = xxhash64(doc_id, text), for ``docs`` (uid, doc_id, text, t1, t2).
+    """(doc_id, uid, spans): byte ranges to remove, for ``docs`` (doc_id, uid, text, t2) with two hashes uid, t2 of the text.
 
     A copy of a whole text has the one range from 0 to 2**62.
     """
     bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, math.ceil(total / BUCKET_BYTES))
+    keys = ["doc_id", "uid"]
     sent = _send(docs, buckets)
-    shared = sent.groupBy("bucket").applyInPandas(count_classes, sent.schema).groupBy("batch").applyInPandas(_shared, "uid long, tokens binary")
+    shared = sent.groupBy("bucket").applyInPandas(count_classes, sent.schema).groupBy("batch").applyInPandas(_shared, "doc_id long, uid long, tokens binary")
     whole = stored(copies(docs))
-    shared = stored(shared.groupBy("uid").agg(F.first("tokens").alias("tokens")).join(whole, "uid", "left_anti"))
+    shared = stored(shared.groupBy(*keys).agg(F.first("tokens").alias("tokens")).join(whole, keys, "left_anti"))
     shards = max(12, math.ceil(total / SHARD_BYTES))
-    cut = docs.join(shared, "uid").select("uid", "doc_id", "text", "tokens").mapInArrow(_cut(shards), "shard int, kind int, payload binary")
-    spans = cut.groupBy("shard").applyInPandas(_solve, "uid long, spans binary")
-    found = spans.groupBy("uid").agg(F.collect_list("spans").alias("spans"))
+    cut = docs.join(shared, keys).select("uid", "doc_id", "text", "tokens").mapInArrow(_cut(shards), "shard int, kind int, payload binary")
+    spans = cut.groupBy("shard").applyInPandas(_solve, "doc_id long, uid long, spans binary")
+    found = spans.groupBy(*keys).agg(F.collect_list("spans").alias("spans"))
     everything = F.lit(np.array([0, 1 << 62], np.int64).tobytes())
-    return stored(found.unionByName(whole.select("uid", F.array(everything).alias("spans"))))
+    return stored(found.unionByName(whole.select(*keys, F.array(everything).alias("spans"))))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs) of each text.
 
     Texts count as UTF-8 bytes, null as empty; what is kept need not be valid UTF-8. Rows of one doc_id don't repeat
-    each other; rows without doc_id stay whole and count for none. Columns of the added names are replaced.
+    each other; rows without doc_id stay whole and count for none. Columns of the added names are replaced, all others may
+    have any name.
     """
     added = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
     base = docs.drop(*(f.name for f in added))
-    keyed = base.withColumn("uid", F.xxhash64("doc_id", text))
-    source = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length(text) >= LENGTH)).select(
-        "uid", F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")
+    doc, uid, doc_side, uid_side, spans = fresh(base.columns, "doc", "uid", "doc_side", "uid_side", "spans")
+    keyed = base.withColumn(doc, F.col("doc_id").cast("long")).withColumn(uid, F.xxhash64(text))
+    source = keyed.where(F.col(doc).isNotNull() & (F.octet_length(text) >= LENGTH)).select(
+        F.col(doc).alias("doc_id"), F.col(uid).alias("uid"), F.col(text).alias("text"), F.xxhash64(F.lit(7), text).alias("t2")
     )
-    joined = keyed.join(repeated_spans(source), "uid", "left").select(*base.columns, F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"))
+    side = repeated_spans(source).toDF(doc_side, uid_side, spans)
+    joined = keyed.join(side, (F.col(doc) == F.col(doc_side)) & (F.col(uid) == F.col(uid_side)), "left").select(*base.columns, spans)
     at, width = base.columns.index(text), len(base.columns)
     schema = T.StructType([*base.schema.fields, *added])
 

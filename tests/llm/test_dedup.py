@@ -136,6 +136,35 @@ def test_substrings_match_brute_force(spark):
     assert got == brute_substrings(rows)
 
 
+def test_substrings_of_tables_with_helper_names(spark):
+    rng = random.Random(2)
+    passage = words(rng, 40, 5000)
+    names = ["spans", "uid", "t1", "t2", "tokens", "_uid", "_SPANS", "_doc", "first", "_hot", "_n"]
+    rows = [(i, f"{i} {passage} {i}", *names) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    out = suffix.remove_repeats(df).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in out) == brute_substrings([r[:2] for r in rows])
+    assert all(r["_SPANS"] == "_SPANS" and r["uid"] == "uid" for r in out)
+
+
+def test_equal_hashes_are_not_equal_bytes(monkeypatch):
+    """With all contents hashed to one value the bytes decide."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    text[2000:2400] = text[100:500]
+    a, b, n = np.array([100, 0, 150]), np.array([2000, 2000, 2050]), np.array([400, 60, 50])
+    assert suffix.same_bytes(text, a, b, n, 64).tolist() == [True, False, True]
+    monkeypatch.setattr(suffix._text, "hash_ranges", lambda buf, start, end: np.zeros(len(start), np.uint64))
+    pd = pytest.importorskip("pandas")
+    e = np.zeros(3, suffix.ENTRY)
+    e["doc"], e["uid"], e["windows"] = [1, 2, 3], [11, 12, 13], 10
+    parts = [rng.integers(97, 123, 59).astype(np.uint8) for _ in range(2)]
+    joined = np.concatenate([parts[0], parts[1], parts[0]])
+    payload = np.int64(3).tobytes() + suffix.zstandard.ZstdCompressor().compress(suffix.pack(e, joined))
+    out = suffix._solve(pd.DataFrame({"kind": [0], "payload": [payload]}))
+    assert out["doc_id"].tolist() == [3] and np.frombuffer(out["spans"][0], np.int64).tolist() == [0, 59]
+
+
 def test_substrings_of_nothing(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -251,6 +280,61 @@ def test_near_duplicates_with_long_buckets_and_held_shingles(spark, monkeypatch)
     check_near(spark, rows)
 
 
+def near_copies(n, seed=3, edits=8):
+    rng = random.Random(seed)
+    base = words(rng, 60, 3000).split()
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(i % edits):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("max_hot", [1 << 20, 1])
+def test_near_duplicates_with_frequent_shingles(spark, monkeypatch, max_hot):
+    for name, value in {"HOT_DF": 3, "HOT_ROWS": 6, "CHUNK": 3, "MAX_HOT": max_hot}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    check_near(spark, near_copies(70) + [(1000 + i, t) for i, t in near_copies(40, 4, 14)] + near_rows()[:30])
+
+
+def test_frequent_shingles_are_dealt_out(spark, monkeypatch):
+    """Entries of a shingle that many classes share: one group a cell, and none where one component has them all."""
+    for name, value in {"HOT_DF": 3, "HOT_ROWS": 10}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    token = np.arange(1, 5, dtype=np.uint64)
+    rows = [(i, 4, token.tobytes(), bytes([255] * 4), i % 2) for i in range(60)]
+    classes = spark.createDataFrame(rows, "node long, n long, tokens binary, dfs binary, label long")
+    for label, cells in ((F.col("label"), 21), (F.lit(7).cast("long"), 0)):
+        made = classes.withColumn("label", label)
+        frequent = jaccard._frequent(made, 60, 4, 75)
+        assert sorted(frequent[2]) == [6] * len(frequent[0]) and frequent[1].all() == bool(cells)
+        e = np.concatenate([np.zeros(0, jaccard.ENTRY), *(np.frombuffer(r["payload"], jaccard.ENTRY) for r in jaccard._index(made, 4, 75, False, 1, frequent).collect() if r["bucket"] < 4)])
+        groups = {(int(t), int(c)): 0 for t, c in zip(e["token"], e["cell"], strict=True)}
+        for t, c in zip(e["token"], e["cell"], strict=True):
+            groups[int(t), int(c)] += 1
+        assert len(groups) == cells * len(set(e["token"])) and max(groups.values(), default=0) < 45
+
+
+@pytest.mark.parametrize("bit", [0, 39, 40, 63, 64, 100, 127])
+def test_classes_are_told_apart_by_every_bit(bit):
+    token = np.arange(1, 101, dtype=np.uint64) << np.uint64(50)
+    sigs = np.array([[5, 9], [5, 9]], np.uint64)
+    sigs[1, bit // 64] ^= np.uint64(1 << (bit % 64))
+    pd = pytest.importorskip("pandas")
+    rows = []
+    for batch in range(2):
+        rows += jaccard.batch_rows(np.array([batch]), np.ones(1, bool), np.zeros(100, np.int64), token, batch + 10, 1, sigs[batch : batch + 1])
+    back = jaccard.count_classes(pd.DataFrame(rows, columns=["bucket", "kind", "batch", "payload"]))
+    for _, group in back.groupby("batch"):
+        _, got, _, df = jaccard.gathered(group)
+        assert got.tolist() == token.tolist() and set(df.tolist()) == {2}
+    rows = [r for batch in range(2) for r in jaccard.batch_rows(np.array([batch]), np.ones(1, bool), np.zeros(100, np.int64), token, batch + 10, 1, sigs[:1])]
+    back = jaccard.count_classes(pd.DataFrame(rows, columns=["bucket", "kind", "batch", "payload"]))
+    assert (back["kind"] != jaccard.PART).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0]["component_id"] == 1

@@ -14,6 +14,7 @@ from tessera.llm import _text
 from tessera.llm._store import bounded_batches
 
 TRAIN_DOCS = 8192
+FLOOR_DOCS = 64
 TABLE_BITS = 16
 GROUP_BYTES = 3 << 20
 SWITCH_PENALTY = 8.0
@@ -22,22 +23,26 @@ MIN_SCRIPT_SHARE = 0.02
 FULL_LANGS = 200
 UNKNOWN = "und"
 
-#: Script of a letter by its first UTF-8 byte: (first byte, last byte, script number). 0 is no letter, or ``_SECOND`` tells.
+#: Scripts by the first two UTF-8 bytes of a letter, as (first bytes from, to, second bytes from, to, script number).
 _RANGES = (
-    (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1),  # Latin
-    (0xCE, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 4), (0xD7, 0xD7, 5), (0xD8, 0xDB, 6),  # Greek .. Arabic
-    (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11),  # Indic and Thai .. Hangul
-    (0xD6, 0xD6, 4), (0xDC, 0xDC, 12), (0xDD, 0xDD, 13), (0xDE, 0xDE, 14), (0xDF, 0xDF, 15),  # Armenian, Syriac .. N'Ko
+    (0xC3, 0xC3, 0x80, 0x96, 1), (0xC3, 0xC3, 0x98, 0xB6, 1), (0xC3, 0xC3, 0xB8, 0xBF, 1), (0xC4, 0xCA, 0x80, 0xBF, 1), (0xE1, 0xE1, 0xB8, 0xBB, 1),  # Latin
+    (0xCD, 0xCD, 0xB0, 0xBF, 2), (0xCE, 0xCF, 0x80, 0xBF, 2), (0xE1, 0xE1, 0xBC, 0xBF, 2),  # Greek
+    (0xD0, 0xD3, 0x80, 0xBF, 3), (0xD4, 0xD4, 0x80, 0xAF, 3), (0xD4, 0xD4, 0xB1, 0xBF, 4), (0xD5, 0xD5, 0x80, 0xBF, 4), (0xD6, 0xD6, 0x80, 0x8F, 4),  # Cyrillic, Armenian
+    (0xD6, 0xD6, 0x90, 0xBF, 5), (0xD7, 0xD7, 0x80, 0xBF, 5), (0xD8, 0xDB, 0x80, 0xBF, 6), (0xEF, 0xEF, 0xAD, 0xB7, 6), (0xEF, 0xEF, 0xB9, 0xBB, 6),  # Hebrew, Arabic
+    (0xDC, 0xDC, 0x80, 0xBF, 7), (0xDD, 0xDD, 0x80, 0x8F, 7), (0xDD, 0xDD, 0x90, 0xBF, 6), (0xDE, 0xDE, 0x80, 0xBF, 8), (0xDF, 0xDF, 0x80, 0xBF, 9),  # Syriac, Thaana, N'Ko
+    (0xE0, 0xE0, 0xA4, 0xA5, 10), (0xE0, 0xE0, 0xA6, 0xA7, 11), (0xE0, 0xE0, 0xA8, 0xA9, 12), (0xE0, 0xE0, 0xAA, 0xAB, 13), (0xE0, 0xE0, 0xAC, 0xAD, 14),  # Devanagari .. Oriya
+    (0xE0, 0xE0, 0xAE, 0xAF, 15), (0xE0, 0xE0, 0xB0, 0xB1, 16), (0xE0, 0xE0, 0xB2, 0xB3, 17), (0xE0, 0xE0, 0xB4, 0xB5, 18), (0xE0, 0xE0, 0xB6, 0xB7, 19),  # Tamil .. Sinhala
+    (0xE0, 0xE0, 0xB8, 0xB9, 20), (0xE0, 0xE0, 0xBA, 0xBB, 21), (0xE0, 0xE0, 0xBC, 0xBF, 22), (0xE1, 0xE1, 0x80, 0x81, 23), (0xE1, 0xE1, 0x82, 0x83, 24),  # Thai .. Georgian
+    (0xE1, 0xE1, 0x84, 0x87, 25), (0xEA, 0xEA, 0xB0, 0xBF, 25), (0xEB, 0xED, 0x80, 0xBF, 25), (0xE1, 0xE1, 0x88, 0x8D, 26), (0xE1, 0xE1, 0x8E, 0x8F, 27),  # Hangul .. Cherokee
+    (0xE1, 0xE1, 0x90, 0x99, 28), (0xE1, 0xE1, 0x9A, 0x9B, 29), (0xE1, 0xE1, 0x9E, 0x9F, 30), (0xE1, 0xE1, 0xA0, 0xA2, 31),  # Canadian .. Mongolian
+    (0xE2, 0xE2, 0xB0, 0xB7, 32), (0xE3, 0xE3, 0x81, 0x83, 33), (0xE3, 0xE3, 0x84, 0x86, 34), (0xE3, 0xE3, 0x90, 0xBF, 35), (0xE4, 0xE9, 0x80, 0xBF, 35),  # Tifinagh .. Han
+    (0xF0, 0xF0, 0xA0, 0xB3, 35), (0xEA, 0xEA, 0x80, 0x92, 36), (0xF0, 0xF0, 0x90, 0x9B, 37), (0xF0, 0xF0, 0x9E, 0x9E, 38), (0xE0, 0xE0, 0xA0, 0xA3, 39),  # Yi, astral, others
+    (0xE1, 0xE1, 0x9C, 0x9D, 39), (0xE1, 0xE1, 0xA3, 0xB7, 39), (0xEA, 0xEA, 0x93, 0xAF, 39),
 )
-#: Where a first byte also begins punctuation or emoji: (first byte, least and last second byte, script number).
-_SECOND = (
-    (0xE2, 0xB0, 0xB7, 16), (0xEF, 0xAD, 0xB7, 17), (0xEF, 0xBA, 0xBA, 17),  # Glagolitic .. Tifinagh, Arabic forms
-    (0xF0, 0x90, 0x9B, 18), (0xF0, 0x9E, 0x9E, 19), (0xF0, 0xA0, 0xB3, 10),  # astral scripts, Adlam and others, Han
-)
-SCRIPTS = 20
-_SCRIPT = np.zeros(256, np.int8)
-for _a, _b, _s in _RANGES:
-    _SCRIPT[_a : _b + 1] = _s
+SCRIPTS = 40
+_SCRIPT = np.zeros((256, 256), np.int8)
+for _a, _b, _c, _d, _s in _RANGES:
+    _SCRIPT[_a : _b + 1, _c : _d + 1] = _s
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
 
@@ -83,10 +88,9 @@ def words_of(buf: np.ndarray, offs: np.ndarray, bits: int = TABLE_BITS) -> Words
         before[inner], after[inner - 1] = 32, 32
     gram = (before << np.uint32(16)) | (wide << np.uint32(8)) | after
     gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
-    script_at = _SCRIPT[low]
-    for a, b, c, number in _SECOND:
-        lead = np.flatnonzero(low[:-1] == a)
-        script_at[lead[(low[lead + 1] >= b) & (low[lead + 1] <= c)]] = number
+    script_at = _ASCII_LETTER[low].astype(np.int8)
+    lead = np.flatnonzero(low[:-1] >= 0xC3)
+    script_at[lead] = _SCRIPT[low[lead], low[lead + 1]]
     letters = np.flatnonzero(script_at)
     first = np.searchsorted(letters, start)
     inside = first < len(letters)
@@ -97,20 +101,36 @@ def words_of(buf: np.ndarray, offs: np.ndarray, bits: int = TABLE_BITS) -> Words
     return Words(start, end, owner, (h >> np.uint64(64 - bits)).astype(np.int64), script, gram, low)
 
 
-def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
-    """Fit on about ``sample`` labelled rows (``text``, ``lang``), chosen by a hash of the text; None without any.
-
-    Counts are summed per language where the rows are; the driver gets two tables of 2**16 counts a language, of fewer from
-    ``FULL_LANGS`` languages on.
+def _sample(rows: DataFrame, sample: int, floor: int) -> DataFrame:
+    """About ``sample`` distinct texts of ``rows`` (lang, text), in proportion to the languages' distinct texts but of each ``floor``
+    at least (all, where it has fewer). Texts are drawn by hash, so the choice depends on nothing else."""
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in keyed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    if total <= sample:
+        chosen = keyed
+    else:
+        whole = 1 << 30
+        cuts = [(lang, min(whole, -(-max(floor, sample * n // total) * whole // n))) for lang, n in sizes.items()]
+        cuts = rows.sparkSession.createDataFrame(cuts, "lang string, cut long")
+        drawn = F.pmod(F.xxhash64("h", F.lit(29)), F.lit(whole)) < F.col("cut")
+        chosen = keyed.join(F.broadcast(cuts), "lang").where(drawn)
+    return chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def train(docs: DataFrame, sample: int = TRAIN_DOCS, floor: int = FLOOR_DOCS) -> Model | None:
+    """Fit on about ``sample`` distinct labelled texts (``text``, ``lang``), of each language ``floor`` at least; None without any.
+
+    A text counts once for a language, however many rows have it. Counts are summed per language where the rows are; the
+    driver gets two tables of 2**16 counts a language, of fewer from ``FULL_LANGS`` languages on.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    total, langs = rows.agg(F.count("*"), F.count_distinct("lang")).first()
-    if not total:
+    langs = rows.agg(F.count_distinct("lang")).first()[0]
+    if not langs:
         return None
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(total)) < sample)
-    bits = max(1, TABLE_BITS - (-(-min(langs, sample) // FULL_LANGS) - 1).bit_length())
+    rows = _sample(rows, sample, floor)
+    bits = max(1, TABLE_BITS - (-(-langs // FULL_LANGS) - 1).bit_length())
     size = 1 << bits
 
     def run(batches):
@@ -143,8 +163,6 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
 
     schema = "lang string, grams binary, words binary, scripts binary"
     found = sorted(rows.mapInArrow(run, schema).groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
-    if not found:
-        return train(docs.where(F.col("text").isNotNull()).limit(sample), sample) if total > sample else None
     counts = [np.stack([np.frombuffer(r[c], np.int64) for r in found], 1).astype(float) for c in ("grams", "words", "scripts")]
     logp = [np.log((c + 0.5) / (c.sum(0) + 0.5 * size)).astype(np.float32) for c in counts[:2]]
     allowed = counts[2] >= MIN_SCRIPT_SHARE * np.maximum(1, counts[2].sum(0))
@@ -242,10 +260,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
 
     def run(batches):
         model = held.value
+        names_of = pa.array(model.langs if model else [], pa.string())
         for b in batches:
             column = b.column(at)
             buf, offs = _text.buffers(column)
-            preds, scores, all_spans = [], [], []
+            preds, scores, all_spans, counts = [], [], [], [np.zeros(1, np.int64)]
             group = GROUP_BYTES if model is None else GROUP_BYTES * FULL_LANGS // max(FULL_LANGS, len(model.langs))
             for lo, hi in _text.blocks(buf, offs, group):
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
@@ -256,7 +275,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
                 if model is None:
                     preds += [UNKNOWN] * (hi - lo)
                     scores += [0.0] * (hi - lo)
-                    all_spans += [[]] * (hi - lo)
+                    counts.append(np.zeros(hi - lo, np.int64))
                     continue
                 w = label_texts(model, part, cut)
                 labels, share = w.label, w.share
@@ -266,15 +285,19 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
                 preds += [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
                 scores += score.tolist()
                 if spans:
-                    own: list[list] = [[] for _ in range(hi - lo)]
-                    for a in np.split(np.arange(len(labels)), np.flatnonzero((np.diff(labels) != 0) | (np.diff(w.owner) != 0)) + 1):
-                        if len(a):
-                            r = w.owner[a[0]]
-                            own[r].append({"start": int(w.start[a[0]] - cut[r]), "end": int(w.end[a[-1]] - cut[r]), "lang": model.langs[labels[a[0]]]})
-                    all_spans += [o if ok else [] for o, ok in zip(own, has, strict=True)]
+                    ok = has[w.owner]
+                    start, end, owner, labels = w.start[ok], w.end[ok], w.owner[ok], labels[ok]
+                    new = np.ones(len(labels), bool)
+                    new[1:] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(labels))[: len(first)] - 1
+                    counts.append(np.bincount(owner[first], minlength=hi - lo))
+                    all_spans.append(pa.StructArray.from_arrays([pa.array((start[first] - cut[owner[first]]).astype(np.int64)), pa.array((end[last] - cut[owner[last]]).astype(np.int64)), names_of.take(pa.array(labels[first]))], ["start", "end", "lang"]))
             new = [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             if spans:
-                new.append(pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+                kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
+                flat = pa.concat_arrays([pa.array([], kind), *(x.cast(kind) for x in all_spans)])
+                new.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), flat))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [f.name for f in schema.fields])
             _text.release()
 
@@ -290,4 +313,5 @@ def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out()))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    spans = F.array_join(F.transform("lang_spans", lambda x: F.concat_ws(":", x["lang"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return identify(rows, model, spans=True).select("doc_id", "held_out", "lang_pred", "score", spans.alias("spans"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +18,8 @@ MIN_SHORT = 4
 MIN_WINDOWS = 6
 MIN_SHARE = 0.5
 FILTER_BITS = 1 << 24
+MAX_FILTER_BITS = 1 << 30
+STEP = 1 << 18
 
 #: Number words and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fifteen twenty thirty forty fifty sixty hundred thousand million billion"
@@ -32,6 +36,7 @@ _UPPER = (_B >= 65) & (_B <= 90)
 _WORD = _DIGIT | _UPPER | ((_B >= 97) & (_B <= 122)) | (_B >= 0x80)
 _STOP = np.isin(_B, [ord(c) for c in ".!?\n:;"])
 _EXACT = np.uint64(0x6A09E667F3BCC909)
+_CHECK = np.uint64(0xBB67AE8584CAA73B)
 
 
 def _hash_words(words: str) -> np.ndarray:
@@ -118,11 +123,13 @@ def _rolled(values: np.ndarray, widths: set[int]):
                 yield k + 1, _text.mix(sums + np.uint64(k + 1))
 
 
-SCHEMA = "id long, exact boolean, width int, at long, of long, worded boolean, window long, slots array<long>"
+SCHEMA = "id long, exact boolean, width int, at long, of long, worded boolean, window long, check long, slots array<long>"
+FORM = "id long, form binary"
 
 
-def _rows(ids, exact, owner, kind, hashed, at, first, of, worded, window, width):
-    """Record batches of the windows at ``at``, whose places count from ``first``."""
+def _rows(ids, exact, owner, kind, hashed, values, at, first, of, worded, window, width):
+    """Record batches of the windows at ``at``, whose places count from ``first``; ``check`` is a second hash of the window."""
+    p, _ = _text.powers(WINDOW + 2)
     for s in range(0, len(at), 100_000):
         part = at[s : s + 100_000]
         own = owner[part]
@@ -131,9 +138,11 @@ def _rows(ids, exact, owner, kind, hashed, at, first, of, worded, window, width)
         sizes = np.concatenate([[0], np.cumsum(is_slot.sum(1))]).astype(np.int32)
         slots = pa.ListArray.from_arrays(pa.array(sizes), pa.array(hashed[spot][is_slot].view(np.int64)))
         n = len(part)
+        with np.errstate(over="ignore"):
+            check = _text.mix((_text.mix(values[spot] + _CHECK) * p[1 : width + 1]).sum(1, dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(own)), pa.array(np.full(n, exact)), pa.array(np.full(n, width), pa.int32()), pa.array(part - first[own], pa.int64()), pa.array(of[own], pa.int64()), pa.array(worded[part]), pa.array(window[part].view(np.int64)), slots],
-            ["id", "exact", "width", "at", "of", "worded", "window", "slots"],
+            [ids.take(pa.array(own)), pa.array(np.full(n, exact)), pa.array(np.full(n, width), pa.int32()), pa.array(part - first[own], pa.int64()), pa.array(of[own], pa.int64()), pa.array(worded[part]), pa.array(window[part].view(np.int64)), pa.array(check.view(np.int64)), slots],
+            ["id", "exact", "width", "at", "of", "worded", "window", "check", "slots"],
         )
 
 
@@ -157,14 +166,35 @@ def _ways(owner, kind, hashed):
     return (True, owner, kind, hashed, _text.mix(hashed ^ _EXACT)), (False, *units, _templates(*units[1:]))
 
 
+def _forms(items: DataFrame) -> DataFrame:
+    """(id, form): a digest of each item's template tokens and of which of its slots are equal; items of one form are alike
+    up to the values. Items without slots have none."""
+
+    def run(batches):
+        for b in batches:
+            buf, offs = _text.buffers(b.column(1))
+            forms = []
+            for lo, hi in _text.blocks(buf, offs):
+                owner, kind, hashed = _units(*tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
+                values, begin = _templates(kind, hashed), np.searchsorted(owner, np.arange(hi - lo + 1))
+                for a, z in zip(begin[:-1], begin[1:], strict=True):
+                    slots = hashed[a:z][kind[a:z] != LITERAL]
+                    _, first, which = np.unique(slots, return_index=True, return_inverse=True)
+                    forms.append(hashlib.blake2b(values[a:z].tobytes() + first[which].astype("<i8").tobytes(), digest_size=16).digest() if len(slots) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.binary())], ["id", "form"])
+
+    return items.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, FORM)
+
+
 def _item_windows(items: DataFrame) -> DataFrame:
     """Windows of ``WINDOW`` tokens, a shorter item as one: of raw tokens, and of template tokens where enough are literals.
 
     Places count from the end of the item. An item that begins with a capital has its first template window a second time,
-    with the first word as a name, for documents that quote it inside a sentence.
+    with the first word as a name, for documents that quote it inside a sentence. ``items`` (item_id, text, lead): an item
+    that doesn't lead its form gives its windows of raw tokens with slots only; the leading one's stand for the rest.
     """
 
-    def windows(exact, owner, kind, hashed, values, n_rows, opening=None):
+    def windows(exact, owner, kind, hashed, values, n_rows, leads, opening=None):
         begin = np.searchsorted(owner, np.arange(n_rows + 1))
         size = np.diff(begin)
         literal = kind == LITERAL
@@ -179,7 +209,15 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 ok &= (literal[width:] - literal[:n]) * WINDOW >= MIN_LITERALS * width
             if opening is not None:
                 ok &= (np.arange(n) == begin[owner[:n]]) & opening[owner[:n]]
-            yield exact, owner, kind, hashed, np.flatnonzero(ok), begin[1:], size - width + 1, other[width:] > other[:n], h, width
+            of = size - width + 1
+            if exact:
+                slotted = literal[width:] - literal[:n] < width
+                ok &= leads[owner[:n]] | slotted
+                mine = np.bincount(owner[:n][ok], minlength=n_rows)
+                of = np.where(leads, of, mine)
+            else:
+                ok &= leads[owner[:n]]
+            yield exact, owner, kind, hashed, values, np.flatnonzero(ok), begin[1:], of, other[width:] > other[:n], h, width
 
     def run(batches):
         for b in batches:
@@ -188,8 +226,9 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 ids = b.column(0).slice(lo, hi - lo)
                 part, cut = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 owner, kind, hashed = tokens(part, cut)
+                leads = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 for way in _ways(owner, kind, hashed):
-                    for w in windows(*way, hi - lo):
+                    for w in windows(*way, hi - lo, leads):
                         yield from _rows(ids, *w)
                 if not len(owner):
                     continue
@@ -199,10 +238,10 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 kind[first] = inside[first]
                 opening = np.zeros(hi - lo, bool)
                 opening[owner[first]] = True
-                for w in windows(*_ways(owner, kind, hashed)[1], hi - lo, opening):
+                for w in windows(*_ways(owner, kind, hashed)[1], hi - lo, leads, opening):
                     yield from _rows(ids, *w)
 
-    return items.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
+    return items.select(F.col("item_id").cast("long").alias("id"), "text", "lead").mapInArrow(run, SCHEMA)
 
 
 def _document_windows(docs: DataFrame, widths: dict[bool, set[int]], bits) -> DataFrame:
@@ -210,6 +249,7 @@ def _document_windows(docs: DataFrame, widths: dict[bool, set[int]], bits) -> Da
 
     def run(batches):
         held = bits.value
+        mask = np.uint64(8 * len(held) - 1)
         for b in batches:
             buf, offs = _text.buffers(b.column(1))
             for lo, hi in _text.blocks(buf, offs):
@@ -218,7 +258,7 @@ def _document_windows(docs: DataFrame, widths: dict[bool, set[int]], bits) -> Da
                     begin = np.searchsorted(owner, np.arange(hi - lo + 1))
                     for width, h in _rolled(values, widths[exact]):
                         n = len(h)
-                        bit = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                        bit = (h & mask).astype(np.int64)
                         ok = ((held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
                         at = np.flatnonzero(ok & (owner[:n] == owner[width - 1 :]))
                         if exact and width < WINDOW:
@@ -226,37 +266,33 @@ def _document_windows(docs: DataFrame, widths: dict[bool, set[int]], bits) -> Da
                             new = np.ones(len(at), bool)
                             new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (h[at[1:]] != h[at[:-1]])
                             at = at[new]
-                        yield from _rows(ids, exact, owner, kind, hashed, at, begin, np.diff(begin), np.ones(n, bool), h, width)
+                        yield from _rows(ids, exact, owner, kind, hashed, values, at, begin, np.diff(begin), np.ones(n, bool), h, width)
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
-    """A bit for each window hash, ``FILTER_BITS`` whatever the number of windows."""
-    step = 1 << 18
+def _filter(windows: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each window hash; ``bits`` is a power of two."""
 
     def run(batches):
         for b in batches:
-            at = np.unique(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            cut = np.searchsorted(at, np.arange(0, FILTER_BITS + 1, step))
-            keep = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keep, pa.int32()), pa.array([(at[cut[s] : cut[s + 1]] - s * step).astype("<u4").tobytes() for s in keep], pa.binary())],
-                ["segment", "bits"],
-            )
+            at = np.unique(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+            start = _text.runs(at // STEP)
+            parts = [(at[a:z] % STEP).astype("<u4").tobytes() for a, z in zip(start, np.append(start[1:], len(at)), strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array((at[start] // STEP).astype(np.int32)), pa.array(parts, pa.binary())], ["segment", "bits"])
 
     def merge(group):
         import pandas as pd
 
-        out = np.zeros(step, bool)
+        out = np.zeros(STEP, bool)
         for x in group["bits"]:
             out[np.frombuffer(x, "<u4")] = True
         return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [np.packbits(out, bitorder="little").tobytes()]})
 
     parts = windows.select("window").mapInArrow(run, "segment int, bits binary").groupBy("segment").applyInPandas(merge, "segment int, bits binary")
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    held = np.zeros(bits // 8, np.uint8)
     for r in parts.toLocalIterator():
-        held[r["segment"] * step // 8 : (r["segment"] + 1) * step // 8] = np.frombuffer(r["bits"], np.uint8)
+        held[r["segment"] * STEP // 8 : (r["segment"] + 1) * STEP // 8] = np.frombuffer(r["bits"], np.uint8)
     return held
 
 
@@ -270,21 +306,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a tie; windows with another value don't count. A document holds an item if on a diagonal
     ``MIN_WINDOWS`` windows agree, or ``MIN_SHARE`` of the item's, at least one; the diagonal of the largest share is given.
     ``kind`` is ``verbatim`` if all slot values are the item's own and ``reparameterised`` otherwise. Items of equal text
-    count as the one of smallest id. Documents send only windows that pass a filter of fixed size, so what shuffles
-    follows the matches. Null texts and ids match nothing; repeated doc_ids count as one document.
+    count as the one of smallest id. Items of one form (the same template, slots equal in the same places) count as the one of
+    smallest id too, but for documents that hold another one's own values: its raw windows with slots are indexed as well.
+    So a template of many items is joined once. Documents send only windows that pass a filter of 16 bits an item window, 128 MiB
+    at most, so what shuffles follows the matches; windows are compared by 128 bits. Null texts and ids match nothing; repeated doc_ids count as one document.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
+    forms = _forms(items).withColumn("form", F.coalesce("form", F.col("id").cast("string").cast("binary")))
+    lead = forms.groupBy("form").agg(F.min("id").alias("item_id")).select("item_id", F.lit(True).alias("lead"))
+    items = items.withColumn("item_id", F.col("item_id").cast("long")).join(lead, "item_id", "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
     own = stored(_item_windows(items))
     widths: dict[bool, set[int]] = {True: set(), False: set()}
     for r in own.select("exact", "width").distinct().collect():  # at most WINDOW values each
         widths[r["exact"]].add(r["width"])
-    bits = spark.sparkContext.broadcast(_filter(own))
+    size = min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (16 * own.count()).bit_length()))
+    bits = spark.sparkContext.broadcast(_filter(own, size))
     theirs = _document_windows(docs.where(F.col("doc_id").isNotNull()), widths, bits)
-    item = own.select("window", "exact", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "of", "worded")
-    hit = theirs.select(F.col("id").alias("doc_id"), "exact", "at", "window", "slots").join(item, ["window", "exact"])
+    item = own.select("window", "check", "exact", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "of", "worded")
+    hit = theirs.select(F.col("id").alias("doc_id"), "exact", "at", "window", "check", "slots").join(item, ["window", "check", "exact"])
     pairs = F.array_distinct(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     run = ["doc_id", "item_id", "exact", "diagonal"]
     near = hit.select("doc_id", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", F.xxhash64("item_slots").alias("own"), "of", "worded", pairs.alias("pairs"))

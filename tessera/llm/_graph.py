@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import stored
+from tessera.llm._store import discard, stored
 
 PART_EDGES = 1 << 20
 
@@ -69,12 +69,16 @@ def components(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int =
     now = stored(edges.where(F.col("u") != F.col("v")).select("u", "v"))
     parts = math.ceil(now.count() / part_edges)
     if parts <= 1:
-        return stored(_contracted(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("label")))
-    now = stored(_contracted(now.repartition(parts)).where(F.col("u") != F.col("v")))
+        out = stored(_contracted(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("label")))
+        discard(now)
+        return out
+    last, now = now, stored(_contracted(now.repartition(parts)).where(F.col("u") != F.col("v")))
+    discard(last)
     check = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     mark = check(now)
     for _ in range(max_rounds):
-        now = stored(_stars(_stars(now, True), False))
+        last, now = now, stored(_stars(_stars(now, True), False))
+        discard(last)
         new = check(now)
         if (new["n"], new["s"]) == (mark["n"], mark["s"]):
             break

@@ -13,9 +13,11 @@ BATCH_ROWS = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests in local mode), a temporary one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset in local mode, as in tests, a temporary one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,7 +51,17 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     _free(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessera_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that only results which are stored themselves were made of."""
+    for table in tables:
+        path = getattr(table, "_tessera_path", None)
+        if path:
+            _drop(table.sparkSession, path)
 
 
 def _free(spark: SparkSession) -> None:

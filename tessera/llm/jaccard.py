@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _text
 from tessera.llm._graph import components, with_least, with_value
-from tessera.llm._store import bounded_batches, stored
+from tessera.llm._store import bounded_batches, discard, stored
 
 PERCENT = 75
 BATCH_BYTES = 4 << 20
@@ -544,13 +544,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
     relabelled = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(relabelled, count, buckets, percent), classes, percent, False)
     final = components(star.unionByName(rest))
+    discard(star, labels)
 
     # least ids by class, then by component, then back to the rows; hot classes and components stay where they are
     sigs = ["s1", "s2"]
     per_class = table.groupBy(*sigs).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     labelled = stored(per_class.join(classes.select("node", *sigs).join(final, "node"), sigs, "left").select(*sigs, "least", "rows", "label"))
     least = with_least(labelled, ["label"], "least", "first").select(*sigs, "rows", F.coalesce("first", "least").alias("first"))
-    out = with_value(table.select("doc_id", "n", *sigs), sigs, stored(least), "first", "rows")
+    least = stored(least)
+    discard(classes, labelled, final)
+    out = with_value(table.select("doc_id", "n", *sigs), sigs, least, "first", "rows")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -9,12 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm._store import fresh
+
 BLOCK_ROWS = 200_000
 MAX_BLOCKS = 4096
 
 
 def hypergeometric(rng: random.Random, draws: int, good: int, bad: int) -> int:
-    """An exact draw of the number of good items among ``draws`` taken from ``good + bad``, by inversion from the mode.
+    """A draw of the number of good items among ``draws`` taken from ``good + bad``, by inversion from the mode.
+
+    Probabilities are doubles: the law is exact to about 1e-16 times the logarithms of the factorials, 1e-6 at 10**9 items.
+    The counts drawn are whole numbers, so shard sizes are exact in any case.
 
     The expected number of steps is of the order of the standard deviation, for counts of any size.
     """
@@ -72,41 +77,40 @@ def shuffle_shards(rows: DataFrame, key: list[Column], n_shards: int, seed: int
     many rows each block gives each shard; rank the rows of a block by a keyed hash and cut the ranking by those
     counts; in the shard, deal rows into sub-blocks and rank again, a sub-block's slots following its predecessor's.
     Driver memory: at most ``MAX_BLOCKS`` counts twice. No task holds more than a block. Rows with equal keys are
-    interchangeable. An empty table gives an empty table. Clashing input columns ``shard`` and ``slot`` are replaced.
+    interchangeable. An empty table gives an empty table. Clashing input columns ``shard`` and ``slot`` are replaced; others
+    may have any name.
     """
-    named = rows.drop("shard", "slot").withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    rows = rows.drop("shard", "slot")
+    hashed, block, rank, ends, sub, offset, place, b_side, j_side, s_side = fresh(rows.columns, "hashed", "block", "rank", "ends", "sub", "offset", "place", "b_side", "j_side", "s_side")
+    named = rows.withColumn(hashed, F.xxhash64(*key, F.lit(seed)))
     total_blocks = min(MAX_BLOCKS, max(n_shards, 1, math.ceil(rows.count() / block_rows)))
-    block = F.pmod(F.col("_h"), F.lit(total_blocks)).cast("int")
-    sizes = {r["b"]: r["n"] for r in named.groupBy(block.alias("b")).agg(F.count("*").alias("n")).collect()}
+    named = named.withColumn(block, F.pmod(F.col(hashed), F.lit(total_blocks)).cast("int"))
+    sizes = {r["b"]: r["n"] for r in named.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("n")).collect()}
     blocks = [sizes.get(b, 0) for b in range(total_blocks)]
     total = sum(blocks)
     shards = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
     matrix = communication_matrix(blocks, shards, seed)
-    ends = [[sum(row[: j + 1]) for j in range(n_shards)] for row in matrix]
+    bounds = [(b, [sum(row[: j + 1]) for j in range(n_shards)]) for b, row in enumerate(matrix)]
 
     # permute locally, then exchange by the drawn counts
-    bounds = rows.sparkSession.createDataFrame([(b, e) for b, e in enumerate(ends)], "_b int, _ends array<long>")
-    order = lambda salt: F.xxhash64(F.col("_h"), F.lit(salt), F.lit(seed))
-    ranked = named.withColumn("_b", block).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(order(1), "_h")))
-    dealt = ranked.join(F.broadcast(bounds), "_b").withColumn(
-        "shard", F.size(F.filter("_ends", lambda e: e < F.col("_r"))).cast("int")
-    )
+    bounds = rows.sparkSession.createDataFrame(bounds, f"{b_side} int, {ends} array<long>")
+    order = lambda salt: F.xxhash64(F.col(hashed), F.lit(salt), F.lit(seed))
+    ranked = named.withColumn(rank, F.row_number().over(W.partitionBy(block).orderBy(order(1), hashed)))
+    dealt = ranked.join(F.broadcast(bounds), F.col(block) == F.col(b_side))
+    dealt = dealt.withColumn("shard", F.size(F.filter(ends, lambda e: e < F.col(rank))).cast("int"))
 
     # permute again within the shard: sub-blocks are uniform and independent, ranks in them are by another hash
     subs = max(1, min(MAX_BLOCKS // n_shards, math.ceil(total / n_shards / block_rows)))
-    dealt = dealt.withColumn("_s", F.pmod(order(2), F.lit(subs)).cast("int"))
+    dealt = dealt.withColumn(sub, F.pmod(order(2), F.lit(subs)).cast("int"))
     if subs == 1:
         offsets = [(j, 0, 0) for j in range(n_shards)]
     else:
-        counted = {(r["shard"], r["_s"]): r["n"] for r in dealt.groupBy("shard", "_s").agg(F.count("*").alias("n")).collect()}
+        counted = {(r["shard"], r["s"]): r["n"] for r in dealt.groupBy("shard", F.col(sub).alias("s")).agg(F.count("*").alias("n")).collect()}
         offsets = [(j, s, sum(counted.get((j, q), 0) for q in range(s))) for j in range(n_shards) for s in range(subs)]
-    start = rows.sparkSession.createDataFrame(offsets, "shard int, _s int, _o long")
-    final = dealt.withColumn("_q", F.row_number().over(W.partitionBy("shard", "_s").orderBy(order(3), "_h")))
-    return (
-        final.join(F.broadcast(start), ["shard", "_s"])
-        .withColumn("slot", F.col("_o") + F.col("_q") - 1)
-        .drop("_h", "_b", "_r", "_ends", "_s", "_o", "_q")
-    )
+    start = rows.sparkSession.createDataFrame(offsets, f"{j_side} int, {s_side} int, {offset} long")
+    final = dealt.withColumn(place, F.row_number().over(W.partitionBy("shard", sub).orderBy(order(3), hashed)))
+    final = final.join(F.broadcast(start), (F.col("shard") == F.col(j_side)) & (F.col(sub) == F.col(s_side)))
+    return final.select(*rows.columns, "shard", (F.col(offset) + F.col(place) - 1).alias("slot"))
 
 
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import _text
 from tessera.llm._graph import with_least
-from tessera.llm._store import bounded_batches, fresh, stored
+from tessera.llm._store import bounded_batches, discard, fresh, stored
 from tessera.llm.jaccard import BATCH_BYTES, batch_rows, count_classes, gathered
 
 LENGTH = 50
@@ -480,7 +480,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = cut.groupBy("shard").applyInPandas(_solve, "doc_id long, uid long, spans binary")
     found = spans.groupBy(*keys).agg(F.collect_list("spans").alias("spans"))
     everything = F.lit(np.array([0, 1 << 62], np.int64).tobytes())
-    return stored(found.unionByName(whole.select(*keys, F.array(everything).alias("spans"))))
+    out = stored(found.unionByName(whole.select(*keys, F.array(everything).alias("spans"))))
+    discard(shared, whole)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:

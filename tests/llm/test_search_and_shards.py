@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import knn, shard
+from tessera.llm import _store, knn, shard
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -133,6 +133,16 @@ def test_shards_are_exact(spark, block_rows):
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
 
 
+def test_shards_of_tables_with_helper_names(spark):
+    names = ["_hashed", "_BLOCK", "_rank", "_ends", "_sub", "_offset", "_place", "_b_side", "_j_side", "_s_side", "b", "n"]
+    df = spark.range(300).select(F.col("id").alias("doc_id"), *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    out = shard.shuffle_shards(df, [F.col("doc_id")], 8, block_rows=9)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    rows = out.collect()
+    assert all([r[c] for c in names] == list(range(len(names))) for r in rows)
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == j) == list(range(38 if j < 4 else 37)) for j in range(8))
+
+
 def test_shards_are_uniform(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"))
     out = shard.shuffle_shards(df, [F.col("doc_id")], 8, block_rows=300).where("doc_id < 2000").groupBy("shard").count().collect()
@@ -143,6 +153,25 @@ def test_shards_of_nothing(spark):
     assert shard.shuffle_shards(spark.createDataFrame([], "doc_id long"), [F.col("doc_id")], 8).count() == 0
 
 
+def test_shared_folder(spark, monkeypatch):
+    assert _store.fresh(["_A", "b"], "a", "b", "a") == ["_a_", "_b", "_a__"]
+
+    class Session:  # a cluster without spark.checkpoint.dir
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _store.shared_dir(Session)
+    table = _store.stored(spark.range(5))
+    assert table.count() == 5
+    _store.discard(table, spark.range(1))
+    with pytest.raises(Exception, match="(?i)not.*(exist|found)"):
+        spark.read.parquet(table._tessera_path)
+
+
 def test_shard_query(spark, tmp_path):
     rows = [(1, "é", "x"), (2, None, "y"), (3, "", "z")]
     spark.createDataFrame(rows, "doc_id long, text string, size string").write.parquet(str(tmp_path / "documents.parquet"))

@@ -57,7 +57,7 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"bits": 1 << 20}, {"broadcast_keys": 0}])
+@pytest.mark.parametrize("kw", [{}, {"segments": 16}, {"broadcast_keys": 0}])
 def test_lines_match_brute_force(spark, kw):
     rows = line_rows()
     df = spark.createDataFrame([(i, t, 9, 9) for i, t in rows], "doc_id long, text string, n_lines int, other int")
@@ -81,14 +81,44 @@ def test_lines_of_nothing(spark):
         lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), 10, keep="last")
 
 
-def test_filter_has_no_false_negatives(spark):
+@pytest.mark.parametrize("segments", [1, 8])
+def test_filters_miss_no_repeat_and_few_others_pass(spark, segments):
     rows = [(i, f"line {i // 2}\nonly {i}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    bits = 1 << 20
-    packed = lines.twice_seen(df, bits)
-    at = lines._positions(np.array([lines.key_hash(f"line {k}".encode()) for k in range(200)]), bits)
-    assert ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all()
-    assert lines.filter_bits(0) == lines.SEGMENT_BITS and lines.filter_bits(10**12) == lines.MAX_FILTER_BITS
+    found, n = lines.suspects(df, segments=segments)
+    assert n == segments
+    held, each = lines.suspect_filter(found, n)
+    hashes = lambda keys: np.array([lines.key_hash(k.encode()) for k in keys], np.uint64)
+    listed = {int(h) for r in found.collect() for h in np.frombuffer(r["hashes"], np.uint64)}
+    assert listed >= set(hashes([f"line {k}" for k in range(200)]).tolist())
+    assert lines.passes(hashes([f"line {k}" for k in range(200)]), held, each, n).all()
+    assert lines.passes(hashes([f"only {k}" for k in range(400)]), held, each, n).mean() < 0.1
+    assert lines.segments_for(0) == 1 and lines.segments_for(10**10) == 1 << 16 and lines.segments_for(10**15) == lines.MAX_SEGMENTS
+
+
+def test_lines_of_repeated_ids_and_helper_names(spark, tmp_path):
+    """Rows are documents: twelve rows of one id share a line, which goes; SQL says the same."""
+    import duckdb
+
+    names = ["_uid", "_own_uid", "_OWN_KEYS", "key", "salt", "uid", "first_doc"]
+    rows = [(7, f"Shared\nown {i}", *names) for i in range(12)] + [(i, f"other {i}\nshort") for i in range(20, 29)]
+    rows = [(*r, *names)[: 2 + len(names)] for r in rows]
+    df = spark.createDataFrame(rows, "doc_id int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for limit in (1 << 20, 0):
+        out = lines.dedup_lines(df, 10, broadcast_keys=limit).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, t if i != 7 else t[7:]) for i, t, *_ in rows)
+        assert all(r["_OWN_KEYS"] == "_OWN_KEYS" for r in out)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, lines.op9_bloom_line_dedup(spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(lines.OP9_SQL).fetchall()) and {r[2] for r in got} == {0, 1}
+
+
+def test_short_keys_count_code_points(spark):
+    rows = [(i, "é\nxy\nabc") for i in range(10)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 10, min_chars=2).collect()
+    assert {r["text"] for r in out} == {"é"}
 
 
 # ---- substrings

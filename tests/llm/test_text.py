@@ -184,6 +184,84 @@ def test_scripts_of_rare_first_bytes(spark):
     assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 for r in out)
 
 
+def test_every_language_is_learned(spark):
+    """One English text fills half the rows; a language of three texts among 20,000 stays too."""
+    rng = random.Random(2)
+    rows = [(i, sentence(random.Random(0), "en", 40), "en") for i in range(4000)]
+    rows += [(i, sentence(rng, "de", 12), "de") for i in range(4000, 12000)] + [(i, sentence(rng, "ru", 12), "ru") for i in range(12000, 12003)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, sample=500)
+    assert model.langs == ["de", "en", "ru"]
+    chosen = langid._sample(df.select("lang", "text"), 500, 64).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in chosen}
+    assert n["en"] == 1 and n["ru"] == 3 and 350 < n["de"] < 650
+    again = langid.train(df.repartition(7), sample=500)
+    assert (again.word == model.word).all() and (again.trigram == model.trigram).all()
+
+
+def test_scripts_by_code_point(spark):
+    letters = {1: "aéőơếZ", 2: "αἀ", 3: "яӁ", 5: "א", 6: "بﺏ", 10: "क", 11: "ক", 15: "த", 20: "ก", 21: "ກ", 22: "ཀ", 23: "က", 24: "ა", 25: "한", 26: "አ", 30: "ក", 33: "かカ", 35: "漢𠀀", 37: "𐌰"}
+    for script, chars in letters.items():
+        for c in chars:
+            raw = c.encode()
+            w = langid.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert w.script.tolist() == [script], c
+    raw = "× – “ ” … € 🙂 12".encode()
+    assert not langid.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).script.any()
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    """Training, scores and paths in plain Python over the same table places."""
+    import itertools
+    import math
+    import zlib
+
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, lang, rng.randrange(1, 7)) + rng.choice(["", " " + sentence(rng, "ru", 3), " 12 !"]), lang) for i, lang in enumerate(rng.choices(list(SPEECH), k=60))]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "42", "en"), (103, rows[0][1], None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def parts(t):
+        raw = t.encode()
+        w = langid.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) if raw else None
+        return [] if w is None else [(w.hashed[k], [int(g) for g in w.grams[w.start[k] : w.end[k]]], int(w.script[k]), int(w.end[k] - w.start[k]), int(w.start[k])) for k in range(len(w.start))]
+
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    size = 1 << langid.TABLE_BITS
+    counts = {}
+    for lang, text in {(lang, t) for i, t, lang in rows if lang and t is not None and not out_of(i)}:
+        grams, words, scripts = counts.setdefault(lang, ({}, {}, {}))
+        for h, g, s, n, _ in parts(text):
+            for x in g:
+                grams[x] = grams.get(x, 0) + 1
+            if s:
+                words[h] = words.get(h, 0) + 1
+                scripts[s] = scripts.get(s, 0) + n
+    langs = sorted(counts)
+    logp = lambda c, x: math.log((c.get(x, 0) + 0.5) / (sum(c.values()) + 0.5 * size))
+    allowed = {lang: {s for s, n in counts[lang][2].items() if n >= langid.MIN_SCRIPT_SHARE * sum(counts[lang][2].values())} for lang in langs}
+    got = {r["doc_id"]: r for r in langid.op6_language_spans(spark, str(tmp_path)).collect()}
+    for i, t, _ in rows:
+        r = got[i]
+        assert r["held_out"] == out_of(i)
+        if not t or not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"], r["spans"]) == ("und", 0.0, "")
+            continue
+        words = parts(t)
+        table = []
+        for h, g, s, _, _ in words:
+            raw = [sum(logp(counts[lang][0], x) for x in g) + logp(counts[lang][1], h) for lang in langs]
+            some = s and any(s in allowed[lang] for lang in langs)
+            table.append([0.0 if not some else x - sum(raw) / len(raw) if s in allowed[lang] else -1e4 for x, lang in zip(raw, langs, strict=True)])
+        value = lambda p: sum(row[x] for row, x in zip(table, p, strict=True)) - langid.SWITCH_PENALTY * sum(a != b for a, b in itertools.pairwise(p))  # noqa: B023, E731
+        path = max(itertools.product(range(len(langs)), repeat=len(words)), key=value) if len(words) < 10 else None
+        spans = [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in r["spans"].split(",")]
+        labels = [next(langs.index(lang) for lang, a, z in spans if a <= w[4] < z) for w in words]
+        assert path is None or value(tuple(labels)) == pytest.approx(value(path), abs=1e-2)
+        share = [sum(w[3] for w, x in zip(words, labels, strict=True) if x == k and w[2] and any(w[2] in a for a in allowed.values())) for k in range(len(langs))]
+        assert r["lang_pred"] == langs[share.index(max(share))] and r["score"] == pytest.approx(max(share) / sum(share))
+
+
 def test_training_sample_is_bounded(spark):
     model = langid.train(speech(spark), sample=60)
     assert set(model.langs) <= set(SPEECH) and model.trigram.shape[0] == 1 << langid.TABLE_BITS
@@ -216,6 +294,7 @@ def brute_spans(text):
 PII = [
     "mail a.b+c@ex-ample.co.uk, x@y.z; user@host no", "a@b.c-_x@y.z a@b.c@d.e @x.y a@.b", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4 1.2.3 9.9.9.9.",
     "4111 1111 1111 1111 and 4111-1111-1111-1112 or 4111111111111111 5", "+1 (743) 555-3824 +49 30 123456-7 +1 2 +123456789012345678 +1((((((", "é日🙂 x@y.zz 🙂 1.1.1.1 +1 555 555 5555",
+    "a\u0001b@c.d\u0002 1.2.3.4 \u0001\u0002 x@y.z\u0001", "4111 1111 1111 1111-1 4111  1111 1 1-4111111111111111",
     None, "", "x" * 100_000, "1" * 50_000, "a@" + "b." * 20_000 + "c", "+1" + "(" * 50_000, "1.2.3.4 " * 2_000,
 ]
 
@@ -260,9 +339,64 @@ def test_patterns_discover_spaced_numbers(spark):
     assert out[first + 6]["spans"] == "phone:26:40" and out[first + 7]["spans"] == "phone:30:40"
 
 
+def brute_learned(instances, rounds, min_seeds, min_confidence):
+    edges: dict = {}
+    for kind, pattern, value, seed in instances:
+        if pattern:
+            edges[kind, pattern, value] = edges.get((kind, pattern, value), False) or seed
+    score = {(k, v): 0.0 for k, _, v in edges}
+    promoted: set = set()
+    trusted: dict = {}
+    for _ in range(rounds):
+        by: dict = {}
+        for e, seed in edges.items():
+            by.setdefault(e[:2], []).append((1.0 if seed else score[e[0], e[2]], seed or (e[0], e[2]) in promoted))
+        conf = {p: sum(s for s, _ in x) / (len(x) + 0.1) for p, x in by.items() if sum(b for _, b in x) >= min_seeds}
+        trusted = {p: c for p, c in conf.items() if c >= min_confidence}
+        for (k, p, v), seed in edges.items():
+            if not seed:
+                score[k, v] = max(score[k, v], conf.get((k, p), 0.0))
+                if (k, p) in trusted:
+                    promoted.add((k, v))
+    return trusted
+
+
+def test_learned_patterns_against_brute_force(spark):
+    rng = random.Random(5)
+    for trial in range(3):
+        rows = []
+        for _ in range(400):
+            pattern = rng.randrange(25)
+            v = rng.randrange(pattern * 3, pattern * 3 + 9)
+            rows.append((rng.choice(["email", "phone"]), f"p{pattern}" if pattern else "", f"v{v}", v < 40))
+        got = {(r["kind"], r["pattern"]): r["conf"] for r in pii.learned(spark.createDataFrame(rows, "kind string, pattern string, value string, seed boolean"), 400, 3, 3, 0.6 + 0.1 * trial).collect()}
+        want = brute_learned(rows, 3, 3, 0.6 + 0.1 * trial)
+        assert got.keys() == want.keys() and len(got) > 3
+        assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_patterns_of_the_second_round(spark):
+    """Six logins stand where seeds do and then in contexts no seed is in; one more login stands only there."""
+    rows = [f"please contact me at user{i}@mail.example.com today" for i in range(80)]
+    rows += [f"please contact me at ghost{i}@host{i} today" for i in range(6)]
+    first = len(rows)
+    rows += [f"the secret box belongs to ghost{i % 6}@host{i % 6} forever" for i in range(12)]
+    rows += ["the other box belongs to ghost1@host1 forever", "some login is zz9@host alone"]
+    out = {r["doc_id"]: r for r in pii.extract(frame(spark, rows)).collect()}
+    assert all(out[i]["n_learned"] == 1 and out[i]["spans"].startswith("email:") for i in range(80, first + 13))
+    assert out[first + 13]["n_learned"] == 0
+    one = pii.learned
+    try:
+        pii.learned = lambda x, n: one(x, n, rounds=1)
+        out = {r["doc_id"]: r for r in pii.extract(frame(spark, rows)).collect()}
+    finally:
+        pii.learned = one
+    assert all(out[i]["n_learned"] == 1 for i in range(80, first)) and all(out[i]["n_learned"] == 0 for i in range(first, first + 14))
+
+
 def test_contexts_are_fixed_windows(spark):
     text = "é 1 22, phone 1980 x " * 9 + "🙂 7"
-    for pattern in (pii.CANDIDATE, r"[0-9]"):
+    for pattern in (r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+", r"[0-9]"):
         row = pii.positioned(frame(spark, [text, "1" * 70, "none"]), "text", pattern, "x").orderBy("doc_id").collect()
         for t, r in zip((text, "1" * 70), row, strict=False):
             want = [(m.start(), m.end(), t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]) for m in re.finditer(pattern, t)]
@@ -381,5 +515,87 @@ def test_reparameterised_items_inside_a_sentence(spark):
     assert {r["kind"] for r in got.values()} == {"reparameterised"}
 
 
+def test_items_of_one_template_are_joined_once(spark):
+    rng = random.Random(9)
+    make = lambda a, b, name: f"the farmer {name} sells {a} sheep at the old market and buys {b} goats on the way home from there"
+    items = [make(10 + i, 200 + i, "Tom") for i in range(40)] + ["an item that has no slots at all but words enough to be found"]
+    texts = [make(7, 9, "Eve")] + [make(10 + i, 200 + i, "Tom") for i in (0, 5, 17)] + [make(7, 7, "Tom"), items[40], "plain words " * 20]
+    texts = [f"{rng.random()} so {t} and more" for t in texts]
+    got = decon(spark, texts, items)
+    assert {k: r["kind"] for k, r in got.items() if r["kind"] == "verbatim"} == {(1, 0): "verbatim", (2, 5): "verbatim", (3, 17): "verbatim", (5, 40): "verbatim"}
+    assert {k for k, r in got.items() if r["kind"] == "reparameterised"} == {(0, 0), (2, 0), (3, 0), (4, 0)}
+
+
+def brute_contamination(texts, items):
+    """The rule in plain Python, over the kinds and values of ``decontam.tokens``; items must not share a form."""
+
+    def units(text):
+        kind, hashed = brute_windows(text)
+        out = []
+        for k, h in zip(kind, hashed.tolist(), strict=True):
+            if k and out and out[-1][0] == k:
+                out[-1] = (k, (*out[-1][1], h))
+            else:
+                out.append((k, (h,)))
+        return list(zip(kind, hashed.tolist(), strict=True)), out
+
+    found = set()
+    for d, text in enumerate(texts):
+        raw, templ = units(text)
+        for i, item in enumerate(items):
+            item_raw, item_templ = units(item)
+            diagonals: dict = {}
+            for exact, own, theirs in ((True, item_raw, raw), (False, item_templ, templ)):
+                width = min(8, len(own))
+                for a in range(len(own) - width + 1):
+                    mine = own[a : a + width]
+                    if not exact and (len(own) < 4 or sum(k == 0 for k, _ in mine) * 8 < 5 * width):
+                        continue
+                    for b in range(len(theirs) - width + 1):
+                        other = theirs[b : b + width]
+                        if exact and [h for _, h in mine] == [h for _, h in other] or not exact and all(x[0] == y[0] and (x[0] or x == y) for x, y in zip(mine, other, strict=True)):
+                            pairs = set() if exact else {(x[1], y[1]) for x, y in zip(mine, other, strict=True) if x[0]}
+                            diagonals.setdefault((exact, b - a), []).append((a, pairs, any(k != 1 for k, _ in mine), len(own) - width + 1))
+            for (exact, _), hits in diagonals.items():
+                votes: dict = {}
+                for _, pairs, _, _ in hits:
+                    for x, y in pairs:
+                        votes.setdefault(x, {}).setdefault(y, 0)
+                        votes[x][y] += 1
+                to = {x: max(ys, key=lambda y: (ys[y], y == x)) for x, ys in votes.items()}  # noqa: B023
+                good = [h for h in hits if all(to[x] == y for x, y in h[1])]
+                if good and (not exact or any(h[2] for h in good)) and (len(good) >= 6 or len(good) >= 0.5 * good[0][3]):
+                    found.add((d, i))
+    return found
+
+
+def test_reparameterised_items_against_brute_force(spark):
+    rng = random.Random(21)
+    names, word = ["Anna", "Boris", "Clara", "Dmitri", "Elena", "Farid"], lambda: f"w{rng.randrange(60)}"
+
+    def item():
+        out = [rng.choice(names) if rng.random() < 0.1 else str(rng.randrange(2, 90)) if rng.random() < 0.15 else word() for _ in range(rng.randrange(6, 30))]
+        return ["start", *out]
+
+    items = [item() for _ in range(14)]
+    texts = []
+    for k in range(70):
+        own = list(items[k % 14])
+        swap = {w: (rng.choice(names) if w[0].isupper() else str(rng.randrange(2, 90))) for w in own if w[0].isupper() or w[0].isdigit()}
+        if k % 5 == 1:
+            own = [swap.get(w, w) for w in own]
+        elif k % 5 == 2:  # each place by its own draw
+            own = [rng.choice(names) if w[0].isupper() else str(rng.randrange(2, 90)) if w[0].isdigit() else w for w in own]
+        elif k % 5 == 3:
+            own = own[: len(own) // 2 + rng.randrange(3)]
+        elif k % 5 == 4:
+            own = [word() for _ in own]
+        texts.append(" ".join([word() for _ in range(rng.randrange(12))] + own + [word() for _ in range(rng.randrange(12))]))
+    items = [" ".join(x) for x in items]
+    want = brute_contamination(texts, items)
+    assert set(decon(spark, texts, items)) == want
+    assert {(k, k % 14) for k in range(70) if k % 5 < 2} <= want and len(want) > 35
+
+
 def test_decontamination_of_nothing(spark):
     assert decon(spark, [], [ITEM]) == {} and decon(spark, [ITEM], []) == {}

@@ -128,14 +128,30 @@ def solve_weights(t: np.ndarray, d: np.ndarray, nonnegative: bool = False, simpl
 
 
 def assign(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(i, u, loss): for each row (i, row) the 0/1 pattern u of least squared error against pattern times ``weights``."""
-    spark = rows.sparkSession
-    r = len(weights)
-    fits = _combine(r) @ weights
-    table = patterns(spark, r).select("u", F.element_at(literal_matrix(fits), (F.col("u") + 1).cast("int")).alias("fit")) if r <= 10 else spark.createDataFrame([(u, [float(x) for x in f]) for u, f in enumerate(fits)], "u long, fit array<double>")
-    pairs = rows.crossJoin(F.broadcast(table)).select("i", "u", squared_distance("row", "fit").alias("loss"))
-    best = pairs.groupBy("i").agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "u")).alias("m"))
-    return best.select("i", F.col("m.u").alias("u"), F.col("m.loss").alias("loss"))
+    """(i, u, loss): for each row (i, row) the 0/1 pattern u of least squared error against pattern times ``weights``.
+
+    Each row is compared with all patterns where it is: as array expressions for few patterns, in Arrow batches for many.
+    """
+    fits = _combine(len(weights)) @ weights
+    if fits.size <= 1024:
+        loss = F.transform(literal_matrix(fits), lambda f, u: F.struct(F.round(squared_distance("row", f), 12).alias("loss"), u.cast("long").alias("u")))
+        return rows.select("i", F.array_min(loss).alias("m")).select("i", "m.u", "m.loss")
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, len(b), 256):
+                part = b.iloc[s : s + 256]
+                x = np.stack(part["row"].to_numpy())
+                loss = np.full(len(x), np.inf)
+                best = np.zeros(len(x), np.int64)
+                for t in range(0, len(fits), 4096):
+                    d = np.round(((x[:, None, :] - fits[t : t + 4096][None]) ** 2).sum(2), 12)
+                    at = d.argmin(1)
+                    less = d[np.arange(len(x)), at] < loss
+                    loss[less], best[less] = d[np.arange(len(x)), at][less], at[less] + t
+                yield pd.DataFrame({"i": part["i"], "u": best, "loss": loss})
+
+    return rows.select("i", "row").mapInPandas(run, "i long, u long, loss double")
 
 
 def block_optimise(rows: DataFrame, r: int, t: np.ndarray, max_iter: int = 20, tol: float = 1e-8, nonnegative: bool = False, simplex: bool = False) -> tuple[DataFrame, np.ndarray, list[float]]:

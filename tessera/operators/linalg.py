@@ -126,10 +126,43 @@ def pairwise(rows: DataFrame, positive: int | None = None, vectors: tuple[str, .
     return left.groupBy("p", "q").cogroup(right.groupBy("p_", "q_")).applyInPandas(run, schema)
 
 
-def hard_threshold(coo: DataFrame, card: int) -> DataFrame:
-    """The ``card`` entries of largest magnitude (ties by place); the rest are zero, so absent."""
-    top = coo.select("i", "j", "v", F.abs("v").alias("m"))
-    return top.orderBy(F.desc("m"), "i", "j").limit(card).select("i", "j", "v")
+SORT_ROWS = 1 << 20
+
+
+def hard_threshold(coo: DataFrame, card: int, sort_rows: int = SORT_ROWS) -> DataFrame:
+    """The ``card`` entries of largest magnitude (ties by place); the rest are zero, so absent.
+
+    At most ``sort_rows`` entries are sorted in one place. Beyond that the cut is narrowed by quantiles of what is open: what
+    stands surely before it is kept where it is, and ties at one magnitude are cut by i and then by j in the same way. ``coo``
+    is read once a step, so it should be a stored table.
+    """
+    keys = [-F.abs("v"), F.col("i"), F.col("j")]
+    kept, band, need = F.lit(False), F.lit(True), card
+    for key in keys:
+        while True:
+            rest = coo.where(band)
+            edge = rest.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+            if need <= 0:
+                return coo.where(kept).select("i", "j", "v")
+            if edge["n"] <= need:
+                return coo.where(kept | band).select("i", "j", "v")
+            if edge["n"] <= sort_rows:
+                last = rest.orderBy(*keys).limit(need).select("i", "j", "v")
+                return coo.where(kept).select("i", "j", "v").unionByName(last)
+            if edge["low"] == edge["high"]:
+                break
+            share, error = need / edge["n"], 2e-3
+            ranks = [max(0.0, share - error), min(1.0, share + error)]
+            low, high = rest.agg(F.percentile_approx(key, ranks, 1000).alias("q")).first()["q"]
+            below, upto = rest.agg(F.count_if(key < low), F.count_if(key <= high)).first()
+            if below > need or upto < need or (low == edge["low"] and high == edge["high"]):
+                low, high = edge["low"], edge["low"] + (edge["high"] - edge["low"]) / 2  # quantiles too coarse: halve
+                below, upto = 0, rest.agg(F.count_if(key <= high)).first()[0]
+                if upto < need:
+                    kept, need, band = kept | (band & (key <= high)), need - upto, band & (key > high)
+                    continue
+            kept, need, band = kept | (band & (key < low)), need - below, band & (key >= low) & (key <= high)
+    return coo.where(kept | band).orderBy(*keys).limit(card).select("i", "j", "v")  # repeated places only
 
 
 def rmse(a: Column, b: Column) -> Column:

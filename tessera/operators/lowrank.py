@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import matvec
 from tessera.operators import linalg, projections
+from tessera.sources.shared import checkpointed, stored
 
 
 def frames_mean(rows: DataFrame) -> DataFrame:
@@ -57,11 +58,12 @@ def decompose(rows: DataFrame, columns: int, rank: int = 1, card: int | None = N
         if card is None:
             now = left.select("i", "row", "low", F.col("rest").alias("sparse"))
         else:
+            left = stored(left)
             top = linalg.hard_threshold(left.select("i", F.posexplode("rest").alias("j", "v")), card)
             kept = top.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("kept"))
             joined = left.join(kept, "i", "left")
             now = joined.select("i", "row", "low", F.transform("rest", lambda v, j: F.coalesce(F.try_element_at("kept", j), F.lit(0.0)) + 0.0 * v).alias("sparse"))
-        now = _cut(now)
+        now = checkpointed(now)
         fit = F.zip_with(F.zip_with("low", "sparse", lambda a, b: a + b), F.col("row"), lambda a, b: (a - b) * (a - b))
         errors.append(now.agg(F.sqrt(F.sum(F.aggregate(fit, F.lit(0.0), lambda s, v: s + v)) / F.sum(F.size("row"))).alias("e")).first()["e"])
         if errors[-1] <= tol:
@@ -69,16 +71,6 @@ def decompose(rows: DataFrame, columns: int, rank: int = 1, card: int | None = N
     return now, errors
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: a checkpoint in the folder of the session, or a local one of our own in tests."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def low_rank_step(rows: DataFrame, basis: np.ndarray) -> DataFrame:
     """(i, row): rows projected on a basis (columns x rank), by array expressions alone."""
     from tessera.functions.vectors import literal_matrix

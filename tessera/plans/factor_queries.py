@@ -11,6 +11,7 @@ from tessera.operators import linalg
 from tessera.operators import supervised as D
 from tessera.plans.registry import query, table
 from tessera.sources import tables as T
+from tessera.sources.shared import new_path, stored
 
 # ---- sources: orders stand for benchmark rows (video = priority, pixels = year, projection = status, seconds = price)
 
@@ -36,11 +37,7 @@ def bench_best(spark, d):
 @query(f"WITH {_BENCH} SELECT video, pixels, projection, round(seconds, 2) AS seconds FROM b")
 def bench_csv_round_trip(spark, d):
     """Rows written as headered CSV to the session's shared folder and read back typed."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.rstrip('/')}/bench-{uuid.uuid4().hex}"
+    path = new_path(spark, "bench")
     T.write_csv(_bench(spark, d).select("video", "pixels", "projection", "seconds"), path)
     return T.read_bench(spark, path).select("video", "pixels", "projection", F.round("seconds", 2).alias("seconds"))
 
@@ -125,7 +122,7 @@ _WEIGHTS = np.array([[10.0, 0.02, 0.01], [20.0, 0.04, 0.03], [5.0, 0.01, 0.05]])
 _PATS = " UNION ALL ".join(f"SELECT {u}::BIGINT AS u, [{', '.join(repr(float(x)) for x in p)}] AS fit" for u, p in enumerate(B._combine(RANK) @ _WEIGHTS))
 
 
-@query(f"WITH p AS ({_PATS}), x AS (SELECT l_orderkey * 8 + l_linenumber AS i, l_partkey AS k, [l_quantity, l_discount, l_tax] AS row FROM lineitem), s AS (SELECT i, k, u, round(list_sum(list_transform(range(1, 4), lambda c: (row[c] - fit[c]) * (row[c] - fit[c]))), 12) AS loss FROM x, p) SELECT u, count(*) AS n, round(sum(loss), 4) AS loss FROM (SELECT i, u, loss, row_number() OVER (PARTITION BY i ORDER BY loss, u) AS q FROM s) WHERE q = 1 GROUP BY u")
+@query(f"WITH p AS ({_PATS}), x AS (SELECT row_number() OVER () AS i, [l_quantity, l_discount, l_tax] AS row FROM lineitem), s AS (SELECT i, u, round(list_sum(list_transform(range(1, 4), lambda c: (row[c] - fit[c]) * (row[c] - fit[c]))), 12) AS loss FROM x, p) SELECT u, count(*) AS n, round(sum(loss), 4) AS loss FROM (SELECT i, u, loss, row_number() OVER (PARTITION BY i ORDER BY loss, u) AS q FROM s) WHERE q = 1 GROUP BY u")
 def bmf_tstep(spark, d):
     """Rows by the 0/1 pattern that fits them best for given weights: an exhaustive search, a row at a time."""
     rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i"), F.array("l_quantity", "l_discount", "l_tax").alias("row"))

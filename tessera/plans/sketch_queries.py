@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tessera.operators import cardinality as C
 from tessera.operators import moments as Mo
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query, table
+from tessera.sources.shared import stored
 from tessera.streaming import sketches as S
 
 M = 64
@@ -133,15 +135,16 @@ def sparse_postings(spark, d):
     return _vectors(spark, d)[0]
 
 
-@query(f"{TERMS} SELECT a.id AS query_id, b.id AS doc_id, sum(a.value * b.value) AS score FROM q a JOIN q b USING (coord) GROUP BY 1, 2")
+@query(f"{TERMS} SELECT a.id AS query_id, b.id AS doc_id, sum(a.value * b.value) AS score FROM q a JOIN q b USING (coord) WHERE a.id % 50 = 0 GROUP BY 1, 2")
 def sparse_inner_product(spark, d):
+    """Scores of a stated set of queries against all items."""
     q = _vectors(spark, d)[1]
-    return R.inner_products(q, q)
+    return R.inner_products(q.where("id % 50 = 0"), q)
 
 
 @query(f"{TERMS}, {EXACT} SELECT query_id, doc_id, score, rank FROM e WHERE rank <= {K}")
 def mips_exact_topk(spark, d):
-    docs, q = _vectors(spark, d)
+    docs, q = _stored_vectors(spark, d)
     return R.exact_topk(q, docs, K)
 
 
@@ -156,19 +159,23 @@ def mips_decode(spark, d):
     return R.decode(docs, R.build_sketch(docs, SLOTS, MAPS), SLOTS, MAPS)
 
 
-def _approx(docs, q):
-    return R.sketch_topk(q, docs, R.build_sketch(docs, SLOTS, MAPS), SLOTS, MAPS, K, max_coords=COORDS)
+def _stored_vectors(spark, d):
+    return tuple(stored(x) for x in _vectors(spark, d))
+
+
+def _approx(docs, q, m=SLOTS):
+    return R.sketch_topk(q, docs, R.slot_places(docs.sparkSession, DIM, m, MAPS), m, K, max_coords=COORDS)
 
 
 @query(f"{TERMS}, {SKETCH}, {DECODE}, {APPROX} SELECT query_id, doc_id, score, rank FROM a WHERE rank <= {K}")
 def mips_sketch_topk(spark, d):
-    docs, q = _vectors(spark, d)
+    docs, q = _stored_vectors(spark, d)
     return _approx(docs, q)
 
 
 @query(f"{TERMS}, {EXACT}, {SKETCH}, {DECODE}, {APPROX} SELECT e.query_id, round(avg(CASE WHEN a.doc_id IS NULL THEN 0.0 ELSE 1.0 END), 6)::DOUBLE AS recall FROM (SELECT * FROM e WHERE rank <= {K}) e LEFT JOIN (SELECT * FROM a WHERE rank <= {K}) a USING (query_id, doc_id) GROUP BY 1")
 def mips_recall(spark, d):
-    docs, q = _vectors(spark, d)
+    docs, q = _stored_vectors(spark, d)
     return R.recall(R.exact_topk(q, docs, K), _approx(docs, q)).select("query_id", F.round("recall", 6).alias("recall"))
 
 
@@ -183,6 +190,42 @@ def sketch_error_hist(spark, d):
     return R.error_histogram(docs, R.build_sketch(docs, SLOTS, MAPS), SLOTS, MAPS)
 
 
+def _sized(sql: str, m: int) -> str:
+    """The sketch CTEs for another size, under other names."""
+    for name in ("s", "d", "p", "b", "a"):
+        sql = re.sub(rf"\b{name} AS \(", f"{name}{m} AS (", sql)
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{m} {name}", sql)
+    return sql.replace(f"% {SLOTS})", f"% {m})")
+
+
+SIZES = (24, SLOTS)
+_SWEEP = ", ".join(_sized(f"{SKETCH}, {DECODE}, {APPROX}", m) for m in SIZES)
+
+
+@query(f"{TERMS}, {EXACT}, {_SWEEP} " + " UNION ALL ".join(
+    f"SELECT {m}::INTEGER AS m, round(avg(r), 6)::DOUBLE AS recall, any_value(mb) AS sketch_mb FROM (SELECT e.query_id, avg(CASE WHEN x.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS r FROM (SELECT * FROM e WHERE rank <= {K}) e LEFT JOIN (SELECT * FROM a{m} WHERE rank <= {K}) x USING (query_id, doc_id) GROUP BY 1), (SELECT count(DISTINCT id) * 8 * {m} / 1048576.0::DOUBLE AS mb FROM v)"
+    for m in SIZES))
+def mips_sweep(spark, d):
+    """Recall and memory by sketch size; times are for the benchmark to take."""
+    docs, q = _stored_vectors(spark, d)
+    exact, out = stored(R.exact_topk(q, docs, K)), None
+    for m in SIZES:
+        recall = R.recall(exact, _approx(docs, q, m)).agg(F.round(F.avg("recall"), 6).alias("recall"))
+        row = recall.crossJoin(R.memory(docs, m).select("sketch_mb")).select(F.lit(m).alias("m"), "recall", "sketch_mb")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"{TERMS}, " + ", ".join(_sized(f"{SKETCH}, {DECODE}", m) for m in SIZES) + " " + " UNION ALL ".join(f"SELECT {m}::INTEGER AS m, floor(ub - value)::BIGINT AS bin, count(*) AS n FROM d{m} WHERE ub - value >= 0 GROUP BY 2" for m in SIZES))
+def sketch_error_sweep(spark, d):
+    """Errors of the decoded bounds by sketch size: larger sketches err less."""
+    docs, out = stored(_vectors(spark, d)[0]), None
+    for m in SIZES:
+        row = R.error_histogram(docs, R.build_sketch(docs, m, MAPS), m, MAPS).select(F.lit(m).alias("m"), "bin", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _NAME = "concat('7_', id::VARCHAR, '_', j::VARCHAR)"
 
 
@@ -271,6 +314,15 @@ def zipf_counts(spark, d):
     return Mo.test_counts(spark, 1000, "zipf")
 
 
+_U1, _U2 = H.sql_uniform("concat('uniform_', i::VARCHAR)"), H.sql_uniform("concat('sparse_', i::VARCHAR)")
+
+
+@query(f"SELECT 'uniform' AS kind, i::BIGINT AS item, (floor({_U1} * 99) + 1.0)::DOUBLE AS cnt FROM range(300) r(i) UNION ALL SELECT 'sparse', i::BIGINT, (CASE WHEN {_U2} < 0.1 THEN floor({H.sql_uniform("concat('s_', i::VARCHAR)")} * 99) + 1.0 ELSE 0.0 END)::DOUBLE FROM range(300) r(i)")
+def uniform_and_sparse_counts(spark, d):
+    kinds = [Mo.test_counts(spark, 300, k).select(F.lit(k).alias("kind"), "item", "cnt") for k in ("uniform", "sparse")]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query()
 def moment_accuracy(spark, d):
     """Relative errors of all estimators over a grid of alpha, for a skewed and a real distribution of counts."""

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import cardinality
+from tessera.sources.shared import new_path
 
 
 def windowed_registers(events: DataFrame, item: Column, m: int, window: str = "1 day", lateness: str = "2 days", time: str = "ts") -> DataFrame:
@@ -49,13 +46,19 @@ def _children(spark: SparkSession, path: str):
 
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result from an in-memory sink."""
+    """Run a stream over what is there now; each micro-batch writes its result to the shared folder, and the last (in mode
+    ``complete``) or all of them are read back. No row passes the driver."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    own = None if base else tempfile.mkdtemp(prefix="tessera-stream-")
-    name = f"tessera_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{(base or own).rstrip('/')}/{name}").trigger(availableNow=True).start()
+    path = new_path(spark, "stream")
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{number:09d}")
+        written.append(number)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    if own:
-        shutil.rmtree(own, ignore_errors=True)
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    parts = sorted(set(written))[-1:] if mode == "complete" else sorted(set(written))
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/rows/{k:09d}" for k in parts))

@@ -62,10 +62,31 @@ def test_retrieval_bounds_hold(spark):
     decoded = docs.join(retrieval.decode(docs, sketch, 8, 2), ["id", "coord"])
     assert decoded.where("ub < value or lb > value").count() == 0
     exact = retrieval.exact_topk(q, docs, 5)
-    approx = retrieval.sketch_topk(q, docs, sketch, 8, 2, 5, k_first=30)
+    plain = retrieval.ranked(retrieval.inner_products(q, docs), 5)
+    assert exact.exceptAll(plain).count() == 0 and plain.exceptAll(exact).count() == 0
+    approx = retrieval.sketch_topk(q, docs, retrieval.slot_places(spark, 60, 8, 2), 8, 5, k_first=30)
     assert retrieval.recall(exact, approx).agg(F.avg("recall")).first()[0] == 1.0
 
 
+def test_block_search_equals_the_join(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    docs = retrieval.synthetic_vectors(spark, 80, 40, 0.2, "gaussian", 3).withColumn("value", F.round(4 * F.col("value")))
+    docs = docs.where("id % 7 <> 3 or coord % 2 = 0").unionByName(spark.range(100, 120).select(F.col("id"), F.lit(5).alias("coord"), F.lit(1.0).alias("value")))  # ties
+    q = retrieval.synthetic_vectors(spark, 7, 40, 0.2, "gaussian", 4).withColumn("value", F.round(4 * F.col("value")))
+    m, maps, k = 6, 2, 4
+    got = retrieval.exact_topk(q, docs, k)
+    plain = retrieval.ranked(retrieval.inner_products(q, docs), k)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+    assert rows(got) == rows(plain)
+    part = F.row_number().over(retrieval.W.partitionBy("id").orderBy(F.desc(F.abs("value")), "coord"))
+    short = q.withColumn("r", part).where("r <= 3").select(F.col("id").alias("query_id"), "coord", F.col("value").alias("q"))
+    bounds = retrieval.decode(docs, retrieval.build_sketch(docs, m, maps), m, maps).join(short, "coord")
+    bounds = bounds.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(F.when(F.col("q") > 0, F.col("ub")).otherwise(F.col("lb")) * F.col("q")).alias("bound"))
+    kept = retrieval.ranked(bounds, 9, "bound").select("query_id", "doc_id")
+    plain = retrieval.ranked(kept.join(retrieval.inner_products(q, docs), ["query_id", "doc_id"]), k)
+    assert rows(retrieval.sketch_topk(q, docs, retrieval.slot_places(spark, 40, m, maps), m, k, 9, 3)) == rows(plain)
+
+
 def test_sparse_jl_constants(spark):
     assert projections.sparse_dims(0.1, 0.1) == (1842, 92)
     assert projections.sparse_dims_wide(0.3, 0.1) == (511, 30)
@@ -220,6 +241,50 @@ def test_latin_hypercube(spark):
         assert sorted(np.floor((x[:, d] - low) * 10).astype(int)) == list(range(10))
 
 
+def test_hard_threshold_by_cuts(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.standard_normal(400), rng.integers(-2, 3, 400).astype(float), np.ones(400)):
+        coo = spark.createDataFrame([(k // 20, k % 20, float(v)) for k, v in enumerate(values)], "i int, j int, v double")
+        want = sorted(coo.collect(), key=lambda r: (-abs(r["v"]), r["i"], r["j"]))
+        for card in (0, 1, 37, 200, 399, 400, 500):
+            got = linalg.hard_threshold(coo, card, sort_rows=16).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want[:card])), card
+
+
+def test_dictionary_step_refits_codes(spark):
+    rng = np.random.default_rng(5)
+    z = rng.standard_normal((60, 6))
+    rows = points(spark, z)
+    dictionary = rng.standard_normal((6, 4))
+    dictionary /= np.linalg.norm(dictionary, axis=0)
+    coded = supervised.sparse_codes(rows, dictionary, 0.5).orderBy("i").cache()
+    x = np.stack([r["code"] for r in coded.collect()])
+    new, steps = supervised.update_atoms(coded, dictionary)
+    d, want = dictionary.copy(), x.copy()
+    for a in range(4):  # the same step by singular vectors
+        used = np.abs(x[:, a]) > 1e-12
+        e = (z - want @ d.T + np.outer(want[:, a], d[:, a]))[used]
+        u = np.linalg.svd(e.T)[0][:, 0]
+        u *= 1 if u @ d[:, a] >= 0 else -1
+        d[:, a], want[used, a] = u, e @ u
+    got = np.stack([r["code"] for r in supervised.refitted(coded, steps).orderBy("i").collect()])
+    assert new == pytest.approx(d, abs=1e-6) and got == pytest.approx(want, abs=1e-6)
+    error = lambda c, m: supervised.representation_error(c, m).first()["error"]
+    assert error(supervised.refitted(coded, steps), new) < error(coded, dictionary)
+
+
+def test_assign_ways_agree(spark):
+    rng = np.random.default_rng(6)
+    rows = points(spark, rng.standard_normal((50, 3)))
+    for r in (3, 9):
+        w = rng.standard_normal((r, 3))
+        fits = binary._combine(r) @ w
+        got = {x["i"]: (x["u"], x["loss"]) for x in binary.assign(rows, w).collect()}
+        for x in rows.collect():
+            loss = np.round(((np.array(x["row"]) - fits) ** 2).sum(1), 12)
+            assert got[x["i"]] == (int(loss.argmin()), pytest.approx(loss.min()))
+
+
 def test_supervised(spark):
     rng = np.random.default_rng(0)
     rows = [(i, i % 2, [float(v) for v in rng.standard_normal(3) + 6 * (i % 2)]) for i in range(40)]

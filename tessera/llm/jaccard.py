@@ -560,3 +560,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
 
 def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT row, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w
+), n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+both_ AS (SELECT a.row AS x, b.row AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.row < b.row GROUP BY 1, 2),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.row = x JOIN n q ON q.row = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM edge UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(o.doc_id), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (row) LEFT JOIN reach ON reach.x = w.row LEFT JOIN w o ON o.row = reach.y GROUP BY w.row, w.doc_id
+"""

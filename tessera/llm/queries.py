@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_voronoi_topk": knn.OP1_SQL,
+    "op4_suffix_array_dedup": suffix.OP4_SQL,
     "op9_bloom_line_dedup": lines.OP9_SQL,
+    "op10_multi_order_jaccard": jaccard.OP10_SQL,
 }

@@ -529,3 +529,17 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT row, doc_id, b, substr(h, b * 4000 + 1, 4098) AS h FROM d, unnest(range(0, length(h) // 4000 + 1)) t(b)),
+win AS (SELECT row, doc_id, b * 2000 + i AS i, substr(h, 2 * i + 1, 100) AS w FROM c, unnest(range(0, least(2000, length(h) // 2 - 49))) t(i) WHERE doc_id IS NOT NULL),
+least_ AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w),
+hit AS (SELECT row, i, i > lag(i) OVER (PARTITION BY row ORDER BY i) + 50 AS gap FROM win JOIN least_ USING (w) WHERE first < doc_id),
+run AS (SELECT row, i, count(*) FILTER (WHERE gap) OVER (PARTITION BY row ORDER BY i) AS g FROM hit),
+span AS (SELECT row, g, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY row, g),
+part AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS last FROM span),
+kept AS (SELECT row, count(*) AS n, sum(z - a) AS removed, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS k FROM part JOIN d USING (row) GROUP BY row)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (row)
+"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 
+import duckdb
 import pytest
 
-from tessera.llm import bpe
+from tessera.llm import bpe, queries
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -68,6 +69,17 @@ def test_pipeline_matches_brute_force(spark, sf, tmp_path):
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf, name):
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf), duck.sql(queries.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want.select(*columns).fetchall(), key=str)
+
+
 AWKWARD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 !!", "en", "s", 5), (None, "the words of a text without id here", "en", "s", 3), (4, "the words of a text that is plain and clean", "en", "s", 40), (4, "the words of a text that is plain and clean", "en", "s", 40), (5, "de " * 50_000, "fr", None, 1)]
 
 

@@ -47,11 +47,11 @@ def exact_vertices(spark: SparkSession, d: np.ndarray, tol: float = 1e-10) -> np
     r = len(cols)
     if r == 0:
         return p[:, :1].astype(int) if np.all((np.abs(p) < tol) | (np.abs(p - 1) < tol)) else np.zeros((len(d), 0), int)
-    if r > 24:
-        raise ValueError("the rank is too large to enumerate")
     rows = _pivots(centred[:, cols].T)
     z = centred[:, cols] @ np.linalg.inv(centred[np.ix_(rows, cols)])
     base = p[:, 0]
+    if r > 24:
+        return _bounded_vertices(z, base, rows)
 
     def run(batches):
         for b in batches:
@@ -65,6 +65,27 @@ def exact_vertices(spark: SparkSession, d: np.ndarray, tol: float = 1e-10) -> np
     return np.array(sorted(tuple(f["v"]) for f in found), int).reshape(len(found), len(d)).T
 
 
+def _bounded_vertices(z: np.ndarray, base: np.ndarray, rows: list[int]) -> np.ndarray:
+    """The same points as an integer programme, by fixing one value at a time: a branch ends where a coordinate can reach
+    neither 0 nor 1 any more."""
+    shift = base - z @ base[rows]
+    weight = -np.sort(-np.abs(z), axis=0).sum(0)
+    order = np.argsort(-weight)
+    low = np.concatenate([np.cumsum(np.minimum(z[:, order], 0)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(z), 1))], 1)
+    high = np.concatenate([np.cumsum(np.maximum(z[:, order], 0)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(z), 1))], 1)
+    found, stack = [], [(0, shift)]
+    while stack:
+        k, x = stack.pop()
+        least, most = x + low[:, k] - 1e-8, x + high[:, k] + 1e-8
+        if not (((least <= 0) & (most >= 0)) | ((least <= 1) & (most >= 1))).all():
+            continue
+        if k == len(order):
+            found.append(tuple(int(round(v)) for v in x))
+            continue
+        stack += [(k + 1, x), (k + 1, x + z[:, order[k]])]
+    return np.array(sorted(set(found)), int).reshape(len(set(found)), len(z)).T
+
+
 def factor_exact(spark: SparkSession, d: np.ndarray, affine: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(T, A) with d = T A, columns of A summing to one if ``affine``; ValueError without binary points."""
     v = exact_vertices(spark, d)
@@ -201,14 +222,25 @@ def factor_approximate(rows: DataFrame, r: int, refine: bool = True, nonnegative
 def match_columns(a: np.ndarray, b: np.ndarray) -> list[int]:
     """For each column of a the column of b it is matched with, one to one, of greatest summed correlation (few columns)."""
     n = a.shape[1]
-    corr = np.nan_to_num(np.corrcoef(a.T, b.T)[:n, n:])
+    return match(np.nan_to_num(np.corrcoef(a.T, b.T)[:n, n:]))
+
+
+def correlations(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """left x right correlations of columns, from one aggregate."""
+    row = df.agg(*(F.corr(x, y).alias(f"c_{i}_{j}") for i, x in enumerate(left) for j, y in enumerate(right))).first()
+    return np.nan_to_num(np.array([[row[f"c_{i}_{j}"] for j in range(len(right))] for i in range(len(left))], float))
+
+
+def match(gain: np.ndarray) -> list[int]:
+    """For each row of a gain matrix its column, one to one, of greatest sum; over the sets of columns in use."""
+    n = len(gain)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(n):
         nxt: dict[int, tuple[float, list[int]]] = {}
         for used, (score, chosen) in best.items():
-            for j in range(b.shape[1]):
+            for j in range(gain.shape[1]):
                 if not used >> j & 1:
-                    s = (score + corr[i, j], [*chosen, j])
+                    s = (score + gain[i, j], [*chosen, j])
                     key = used | 1 << j
                     if key not in nxt or s[0] > nxt[key][0]:
                         nxt[key] = s

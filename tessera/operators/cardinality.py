@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hex32, leading_zero_bits
+from tessera.sources.shared import stored
 
 TAU_HLL, TAU_PCSA = 0.889897, 0.343557
 CELLS = 63
@@ -111,7 +112,7 @@ def optimal_tau(kind: str) -> float:
 def accuracy(df: DataFrame, item: Column, m: int, taus: list[float]) -> DataFrame:
     """(kind, tau, estimate, exact, rel_error): one pass for each sketch, all taus from its state."""
     exact = df.agg(F.count_distinct(item).alias("exact"))
-    hll, pcsa = hll_update(df, item, m), pcsa_update(df, item, m)
+    hll, pcsa = stored(hll_update(df, item, m)), stored(pcsa_update(df, item, m))  # m rows each
     out = None
     for tau in taus:
         for kind, est in (("hyperloglog", hll_estimate(hll, m, tau)), ("pcsa", pcsa_estimate(pcsa, m, tau))):

@@ -157,9 +157,21 @@ def decompose(gp: GaussianProcess, x: np.ndarray) -> list[tuple[int, str, float,
     return out
 
 
-def sample_prior(kernel: Kn.Kernel, x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    k = kernel.matrix(x, x) + 1e-8 * np.eye(len(x))
-    return np.linalg.cholesky(k + 1e-6 * np.eye(len(x))) @ np.random.default_rng(seed).standard_normal((len(x), n))
+def sample_prior(kernel: Kn.Kernel, x: np.ndarray, normals: np.ndarray, jitter: float = 1e-6) -> np.ndarray:
+    """points x draws: the factor of the kernel matrix times independent standard normals of that shape."""
+    return np.linalg.cholesky(kernel.matrix(x, x) + jitter * np.eye(len(x))) @ normals
+
+
+def prior_table(spark: SparkSession, kernel: Kn.Kernel, x: np.ndarray, n: int, seed: int = 0) -> DataFrame:
+    """(i, draw, y) of n draws at a few points; normals are functions of (seed, point, draw)."""
+    from tessera.functions.hashing import gaussian, key
+
+    grid = spark.range(len(x) * n).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("draw"))
+    z = np.zeros((len(x), n))
+    for r in grid.select("i", "draw", gaussian(key("prior", seed, F.col("i"), F.col("draw"))).alias("z")).collect():  # points x draws
+        z[r["i"], r["draw"]] = r["z"]
+    y = sample_prior(kernel, x, z)
+    return spark.createDataFrame([(i, t, float(y[i, t])) for i in range(len(x)) for t in range(n)], "i int, draw int, y double")
 
 
 # ---- kernels between the rows of a table

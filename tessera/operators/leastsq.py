@@ -90,3 +90,20 @@ def conditioned(d: int, n: int, cond: float, rng: np.random.Generator) -> np.nda
     u, _ = np.linalg.qr(rng.standard_normal((d, n)))
     v, _ = np.linalg.qr(rng.standard_normal((n, n)))
     return u * np.logspace(0, -math.log10(cond), n) @ v.T
+
+
+def conditioned_rows(spark: SparkSession, d: int, n: int, cond: float) -> DataFrame:
+    """(i, row): d x n with singular values from 1 to 1/cond in equal ratios, made where the rows are; d and n are powers of two.
+
+    Both singular bases are Walsh functions, so an entry is a sum of n terms of its place alone.
+    """
+    if d & (d - 1) or n & (n - 1) or n > d:
+        raise ValueError("d and n must be powers of two, n at most d")
+    walsh = lambda a, b: 1.0 - 2.0 * (F.bit_count(a.bitwiseAND(b)) % 2)
+    ratio = cond ** (-1 / max(1, n - 1))
+
+    def entry(j):
+        terms = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: walsh(F.col("id"), k) * walsh(k, j) * F.pow(F.lit(ratio), k.cast("double")))
+        return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / math.sqrt(d * n)
+
+    return spark.range(d).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), entry).alias("row"))

@@ -76,3 +76,9 @@ def low_rank_step(rows: DataFrame, basis: np.ndarray) -> DataFrame:
     from tessera.functions.vectors import literal_matrix
 
     return rows.select("i", matvec(literal_matrix(basis @ basis.T), F.col("row")).alias("row"))
+
+
+def captured(rows: DataFrame, columns: int, kind: str, rank: int = 1, power: int = 1, seed: int = 0) -> DataFrame:
+    """(energy): the squared norm of the rows' projections on the range found from a test matrix of the given kind."""
+    q = _range_basis(rows, projections.sample_matrix(rows.sparkSession, kind, columns, rank, seed), power)
+    return linalg.times(rows, q, "p").agg(F.sum(F.aggregate("p", F.lit(0.0), lambda s, v: s + v * v)).alias("energy"))

@@ -66,6 +66,14 @@ def measure(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x, "col").groupBy("row").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
+def signs(y: DataFrame, task: str = "onebit_cs", seed: int = 0) -> DataFrame:
+    """(row, y) with y = +1 or -1: the sign of the measurement, or a draw of the logistic law at it."""
+    if task not in ("logistic", "onebit_cs"):
+        raise ValueError("task must be 'logistic' or 'onebit_cs'")
+    up = F.col("y") >= 0 if task == "onebit_cs" else uniform(key("l", seed, F.col("row"))) < 1 / (1 + F.exp(-F.col("y")))
+    return y.select("row", F.when(up, 1.0).otherwise(-1.0).alias("y"))
+
+
 def amp_step(a: DataFrame, y: DataFrame, x: DataFrame, z: DataFrame, delta: float, denoise, derivative) -> tuple[DataFrame, DataFrame]:
     """One step of message passing: ((col, x), (row, z)).
 
@@ -207,10 +215,48 @@ def probit_loss(y: Column, fit: Column, sigma: float) -> Column:
     return -F.ln(F.greatest(normal_cdf(y * fit / sigma), F.lit(1e-10)))
 
 
+def _minimise(gradient, x: np.ndarray, z: np.ndarray, mu: float, rate: float, steps: int, memory: int = 5) -> tuple[np.ndarray, float]:
+    """(x, data loss) after limited-memory quasi-Newton steps on data term plus mu/2 |x - z|^2, halved while the sum rises."""
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    g, loss = gradient(x)
+    value, full = loss + mu / 2 * float((x - z) @ (x - z)), g + mu * (x - z)
+    used = 1
+    while used < steps:
+        step, taken = full.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ step) / (s @ y)
+            taken.append(a)
+            step -= a * y
+        step *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else rate
+        for (s, y), a in zip(pairs, reversed(taken), strict=True):
+            step += (a - (y @ step) / (s @ y)) * s
+        size = 1.0
+        while used < steps:
+            new = x - size * step
+            g, new_loss = gradient(new)
+            used += 1
+            new_value, new_full = new_loss + mu / 2 * float((new - z) @ (new - z)), g + mu * (new - z)
+            if new_value <= value:
+                break
+            size /= 2
+        else:
+            break
+        if (new - x) @ (new_full - full) > 1e-12:
+            pairs = [*pairs[1 - memory :], (new - x, new_full - full)]
+        x, value, full, loss = new, new_value, new_full, new_loss
+    return x, loss
+
+
+def recovery_error(x: np.ndarray, truth: np.ndarray) -> float:
+    """Mean squared error of directions: signs carry no size."""
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    return float(((unit(x) - unit(truth)) ** 2).mean())
+
+
 def one_bit_reconstruct(a: DataFrame, y: DataFrame, n: int, steps: int = 20, lam: float = 0.02, task: str = "logistic", sigma: float = 1.0, inner: int = 10, total: int = 1000) -> tuple[np.ndarray, list[dict]]:
     """Plug-and-play recovery of x from signs: (x, history).
 
-    Alternates a gradient solve of the data term plus mu/2 |x - z|^2 with Tweedie's denoising of x at falling noise levels.
+    Alternates a quasi-Newton solve of the data term plus mu/2 |x - z|^2 with Tweedie's denoising of x at falling noise levels.
     Measurements stay distributed: rows (row, a array, y) give the gradient as partial sums, n numbers a task.
     """
     if task not in ("logistic", "onebit_cs"):
@@ -244,9 +290,7 @@ def one_bit_reconstruct(a: DataFrame, y: DataFrame, n: int, steps: int = 20, lam
     for t in np.linspace(total - 1, 0, steps).astype(int):
         mu = lam * bars[t] / (1 - bars[t])
         rate = 1.0 / (1.0 + mu)
-        for _ in range(inner):
-            g, loss = gradient(x)
-            x = x - rate * (g + mu * (x - z))
+        x, loss = _minimise(lambda v: gradient(v), x, z, mu, rate, inner)  # noqa: B023
         soft = np.convolve(np.pad(x, 2, mode="reflect"), weights, mode="valid") if n > 2 else x
         z = (x - math.sqrt(1 - bars[t]) * (x - soft)) / math.sqrt(bars[t])
         history.append({"t": int(t), "mu": float(mu), "loss": loss, "norm": float(np.linalg.norm(z))})

@@ -86,7 +86,9 @@ def tau_variance_grid(spark, d):
     return spark.createDataFrame(rows, "tau double, var_hll double, var_pcsa double")
 
 
-@query(f"SELECT 'hyperloglog' AS kind, {round(0.889897, 3)}::DOUBLE AS tau UNION ALL SELECT 'pcsa', {round(0.343557, 3)}")
+@query("""WITH t AS (SELECT (i / 1000.0)::DOUBLE AS tau FROM range(50, 1900) r(i)), v AS (SELECT tau,
+ (ln(2) * gamma(2 * tau) / pow(gamma(tau), 2) * (1 + pow(2, -tau)) / (1 - pow(2, -tau)) - 1) / (tau * tau) AS hll, ln(2) * (1 - pow(2, -2 * tau)) * gamma(2 * tau) / pow(gamma(tau), 2) / (tau * tau) AS pcsa FROM t)
+SELECT 'hyperloglog' AS kind, arg_min(tau, hll) AS tau FROM v UNION ALL SELECT 'pcsa', arg_min(tau, pcsa) FROM v""")
 def optimal_taus(spark, d):
     """The minimisers of the variances, found by golden section; the published values are 0.889897 and 0.343557."""
     return spark.createDataFrame([(k, round(C.optimal_tau(k), 3)) for k in ("hyperloglog", "pcsa")], "kind string, tau double")

@@ -33,9 +33,11 @@ def best_by(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     return ranked.where("_r = 1").drop("_r")
 
 
-def read_frames(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, height: int, width: int, column_major: bool = True) -> DataFrame:
     """(i, row): raw grayscale frames of one byte a pixel from binary files, a row a frame in file and frame order.
 
+    Files hold a frame's rows one after the other; a matrix row holds its columns one after the other if ``column_major``.
+
     Video and ``.mat`` decoding are left to the tools that own those formats; their frames come in as such files or as
     Parquet rows (see ``read_matrix``).
     """
@@ -48,7 +50,8 @@ def read_frames(spark: SparkSession, path: str, height: int, width: int) -> Data
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
                 px = np.frombuffer(content, np.uint8)
-                frames = px[: len(px) // size * size].reshape(-1, size)
+                frames = px[: len(px) // size * size].reshape(-1, height, width)
+                frames = (frames.transpose(0, 2, 1) if column_major else frames).reshape(-1, size)
                 yield pd.DataFrame({"path": p, "frame": np.arange(len(frames)), "row": list(frames.astype(float))})
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, frame long, row array<double>")
@@ -56,6 +59,14 @@ def read_frames(spark: SparkSession, path: str, height: int, width: int) -> Data
     return rows.join(F.broadcast(starts.select("path", "at")), "path").select((F.col("at") + F.col("frame")).alias("i"), "row")
 
 
+def write_frames(spark: SparkSession, path: str, frames) -> None:
+    """One binary file of small uint8 frames (frames x height x width), through the file system of the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(frames.tobytes()))
+    out.close()
+
+
 def read_matrix(spark: SparkSession, path: str, id_column: str, vector: str) -> DataFrame:
     """(i, row) from Parquet."""
     return spark.read.parquet(path).select(F.col(id_column).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("row"))

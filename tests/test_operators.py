@@ -183,6 +183,29 @@ def test_binary_factors(spark):
     assert s[:, 0] == pytest.approx([1, 0])
 
 
+def test_binary_points_of_large_rank(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    t = rng.integers(0, 2, (14, 5))
+    a = rng.random((5, 9))
+    d = t @ (a / a.sum(0))
+    plain = binary.exact_vertices(spark, d)
+    p = d[:, :1]
+    cols = binary._pivots(d - p)
+    rows = binary._pivots((d - p)[:, cols].T)
+    z = (d - p)[:, cols] @ np.linalg.inv((d - p)[np.ix_(rows, cols)])
+    assert binary._bounded_vertices(z, p[:, 0], rows).tolist() == plain.tolist()
+    e = np.concatenate([np.eye(30), np.zeros((30, 1))], 1)  # the unit cube: its vertices on the simplex of 31 columns
+    got = binary.exact_vertices(spark, np.concatenate([e, 1 - e.sum(0, keepdims=True)]))
+    assert sorted(map(tuple, got.T)) == sorted(map(tuple, np.concatenate([e, 1 - e.sum(0, keepdims=True)]).T.astype(int)))
+
+
+def test_quasi_newton_steps():
+    h = np.diag([1.0, 10.0, 100.0])
+    f = lambda x: (h @ x - 1, float(0.5 * x @ h @ x - x.sum()))
+    x, _ = sensing._minimise(f, np.zeros(3), np.zeros(3), 0.0, 1.0, 60)
+    assert x == pytest.approx([1, 0.1, 0.01], abs=1e-3)
+
+
 def test_kronecker(spark):
     diag = kronecker.pattern(spark, [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]])
     assert [r["factorizable"] for r in kronecker.check(diag, 4).collect()] == [False]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import discard, stored
+from tessera.llm._store import discard, few_files, stored
 
 PART_EDGES = 1 << 20
 
@@ -59,14 +59,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).dropDuplicates()
 
 
-def components(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v) with an edge to another; the label is the component's least node.
 
     Edges are dealt to parts of about ``part_edges`` rows, whatever their nodes, and a part is contracted to a star for each
     of its components. With one part that is all. Otherwise star steps follow: each round halves the depth of the trees at
-    least. A hub's edges stay spread: its least neighbour is a partial aggregate, joined back under adaptive skew handling.
+    least. ``rows``: about how many edges, if known, for the files they are put in. A hub's edges stay spread: its least neighbour is a partial aggregate, joined back under adaptive skew handling.
     """
-    now = stored(edges.where(F.col("u") != F.col("v")).select("u", "v"))
+    now = edges.where(F.col("u") != F.col("v")).select("u", "v")
+    now = stored(now) if rows is None else few_files(now, rows, deal=True)
     parts = math.ceil(now.count() / part_edges)
     if parts <= 1:
         out = stored(_contracted(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("label")))

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 2048
+FILE_ROWS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,15 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
+def few_files(df: DataFrame, rows: int, deal: bool = False) -> DataFrame:
+    """Store a table of about ``rows`` short rows in files of ``FILE_ROWS``, however many shuffle partitions there are.
+
+    ``deal``: the rows are costly to make, so they are made in all partitions and dealt to the files by a shuffle.
+    """
+    parts = max(1, -(-rows // FILE_ROWS))
+    return stored((df.repartition(parts) if deal else df).coalesce(parts))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that only results which are stored themselves were made of."""
     for table in tables:

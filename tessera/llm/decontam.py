@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
-from tessera.llm._store import bounded_batches, stored
+from tessera.llm._store import bounded_batches, few_files
 
 WINDOW = 8
 MIN_LITERALS = 5
@@ -318,7 +318,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     forms = _forms(items).withColumn("form", F.coalesce("form", F.col("id").cast("string").cast("binary")))
     lead = forms.groupBy("form").agg(F.min("id").alias("item_id")).select("item_id", F.lit(True).alias("lead"))
     items = items.withColumn("item_id", F.col("item_id").cast("long")).join(lead, "item_id", "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
-    own = stored(_item_windows(items))
+    own = few_files(_item_windows(items), 32 * items.count())
     widths: dict[bool, set[int]] = {True: set(), False: set()}
     for r in own.select("exact", "width").distinct().collect():  # at most WINDOW values each
         widths[r["exact"]].add(r["width"])

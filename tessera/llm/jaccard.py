@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _text
 from tessera.llm._graph import components, with_least, with_value
-from tessera.llm._store import bounded_batches, discard, stored
+from tessera.llm._store import bounded_batches, discard, few_files, stored
 
 PERCENT = 75
 BATCH_BYTES = 4 << 20
@@ -452,7 +452,8 @@ def _expand(percent: int):
 
     def run(batches):
         for b in batches:
-            chunks = b.to_pydict()
+            yield b.filter(b.column(3).is_null()).select([0, 1, 2])
+            chunks = b.filter(b.column(3).is_valid()).to_pydict()
             for order, x, y in zip(chunks["order"], chunks["left"], chunks["right"], strict=True):
                 x = np.frombuffer(x, ENTRY)
                 pa_, pb_ = _cross(x, x if y is None else np.frombuffer(y, ENTRY), percent, y is None)
@@ -477,10 +478,9 @@ def _first_pairs(classes: DataFrame, buckets: int, percent: int, salts: int) ->
 def _pairs(classes: DataFrame, count: int, buckets: int, percent: int) -> DataFrame:
     """(a, b): pairs of different labels that are candidates under every order."""
     frequent = _frequent(classes, count, buckets, percent)
-    made = stored(_index(classes, buckets, percent, False, 1, frequent).groupBy("bucket").applyInPandas(_candidates(buckets, percent), _PAIRS))
+    made = _index(classes, buckets, percent, False, 1, frequent).groupBy("bucket").applyInPandas(_candidates(buckets, percent), _PAIRS)
     # a long bucket's chunk pairs are dealt out again: its task only lists them
-    dealt = made.where(F.col("left").isNotNull()).select("order", "left", "right").repartition(buckets).mapInArrow(_expand(percent), "a long, b long, order int")
-    pairs = made.where(F.col("left").isNull()).select("a", "b", "order").unionByName(dealt)
+    pairs = made.repartition(buckets).mapInArrow(_expand(percent), "a long, b long, order int")
     found = pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, order)")).alias("orders"))
     return found.where(F.col("orders") == ((1 << ORDERS) - 1)).select("a", "b")
 
@@ -539,19 +539,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
     classes = stored(alive.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "x.n", "x.tokens", "x.dfs"))  # numbers are fixed once stored
     count = classes.count()
     first = _first_pairs(classes.withColumn("label", F.col("node")), buckets, percent, max(1, min(count // HOT_ROWS, HOT_ROWS)))
-    star = stored(verified(first, classes, percent, True))
-    labels = stored(components(star))
+    star = few_files(verified(first, classes, percent, True), count, deal=True)
+    labels = components(star, rows=count)
     relabelled = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(relabelled, count, buckets, percent), classes, percent, False)
-    final = components(star.unionByName(rest))
+    final = components(star.unionByName(rest), rows=count)
     discard(star, labels)
 
     # least ids by class, then by component, then back to the rows; hot classes and components stay where they are
     sigs = ["s1", "s2"]
     per_class = table.groupBy(*sigs).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    labelled = stored(per_class.join(classes.select("node", *sigs).join(final, "node"), sigs, "left").select(*sigs, "least", "rows", "label"))
+    n = table.count()
+    labelled = few_files(per_class.join(classes.select("node", *sigs).join(final, "node"), sigs, "left").select(*sigs, "least", "rows", "label"), n)
     least = with_least(labelled, ["label"], "least", "first").select(*sigs, "rows", F.coalesce("first", "least").alias("first"))
-    least = stored(least)
+    least = few_files(least, n)
     discard(classes, labelled, final)
     out = with_value(table.select("doc_id", "n", *sigs), sigs, least, "first", "rows")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
-from tessera.llm._store import bounded_batches, discard, fresh, stored
+from tessera.llm._store import bounded_batches, discard, few_files, fresh, stored
 
 SPACE = b" \t\n\v\f\r"
 LINE_BITS = 16
@@ -135,9 +135,8 @@ def suspects(docs: DataFrame, min_chars: int = 1, segments: int | None = None) -
     return stored(sent.groupBy("segment").applyInPandas(_suspects, "segment int, n long, hashes binary")), segments
 
 
-def suspect_filter(found: DataFrame, segments: int) -> tuple[np.ndarray, int]:
-    """(packed bits, bits a segment) of a filter over the suspects, of ``MAX_FILTER_BITS`` at most; fuller ones pass more."""
-    total = found.agg(F.sum("n")).first()[0] or 0
+def suspect_filter(found: DataFrame, segments: int, total: int) -> tuple[np.ndarray, int]:
+    """(packed bits, bits a segment) of a filter over the ``total`` suspects, of ``MAX_FILTER_BITS`` at most; fuller ones pass more."""
     bits = min(MAX_FILTER_BITS, 1 << math.ceil(math.log2(max(1, total * LINE_BITS))))
     each = max(64, bits // segments)
 
@@ -173,7 +172,8 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, segments:
     Only suspects leave their task, once for each task and key; counts are exact over key texts.
     """
     found, segments = suspects(docs, min_chars, segments)
-    held = docs.sparkSession.sparkContext.broadcast(suspect_filter(found, segments))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    held = docs.sparkSession.sparkContext.broadcast(suspect_filter(found, segments, total))
     discard(found)
 
     def run(batches):
@@ -209,7 +209,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, segments:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([key_digest(k) for k in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["key", "first_doc"])
 
-    return exact.select("text", "first_doc").mapInArrow(digests, "key binary, first_doc long")
+    return few_files(exact.select("text", "first_doc").mapInArrow(digests, "key binary, first_doc long"), total)
 
 
 def _clean(text: bytes, doc_id, held: dict[bytes, int | None], min_chars: int, keep_first: bool) -> tuple[int, int, bytes]:
@@ -253,7 +253,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     spark, first = docs.sparkSession, keep == "first"
     bounded_batches(spark)
     base = docs.drop("n_lines", "n_dropped")
-    found = stored(repeated_lines(base.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_docs, min_chars, segments))
+    found = repeated_lines(base.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_docs, min_chars, segments)
     names = base.columns
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at_id, at_text = names.index("doc_id"), names.index("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._store import discard, stored
+from tessera.llm._store import discard, few_files, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Runs are possessive and begin where the run begins, so time stays linear; matches are the same, but for
@@ -34,7 +34,6 @@ ROUNDS = 4
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.9
 SALTS = 32
-FILE_ROWS = 1 << 18
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -129,11 +128,6 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-def few_files(df: DataFrame, rows: int) -> DataFrame:
-    """Store a table of at most ``rows`` short rows in files of ``FILE_ROWS``, however many shuffle partitions there are."""
-    return stored(df.coalesce(max(1, -(-rows // FILE_ROWS))))
-
-
 def learned(instances: DataFrame, size: int, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(kind, pattern) of high confidence, from ``instances`` (kind, pattern, value, seed), about ``size`` rows.
 

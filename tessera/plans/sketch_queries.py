@@ -325,11 +325,32 @@ def uniform_and_sparse_counts(spark, d):
     return kinds[0].unionByName(kinds[1])
 
 
-@query()
+ALPHAS = (0.5, 0.9, 0.99)
+
+
+def _estimates_sql(alpha: float) -> dict[str, str]:
+    p, g = Mo.optimal_power(alpha), Mo.moment_constant
+    g1, g2, ga = g(p, alpha), g(2 * p, alpha), math.gamma(1 + alpha)
+    bias = 1 - (1 / PROJ) * (1 / (2 * p)) * (1 / p - 1) * (g2 / g1**2 - 1)
+    harmonic = PROJ * math.cos(alpha * math.pi / 2) / ga * (1 - (1 / PROJ) * (2 * ga**2 / math.gamma(1 + 2 * alpha) - 1))
+    return {
+        "optimal": f"pow(avg(pow(abs(x), {p * alpha!r})) / {g1!r}, {1 / p!r}) * {bias!r}",
+        "geometric": f"exp({alpha!r} * avg(ln(abs(x)))) / {g(1 / PROJ, alpha) ** PROJ!r}",
+        "harmonic": f"{harmonic!r} / sum(pow(abs(x), {-alpha!r}))",
+    }
+
+
+_ACC = [(n, a) for n in ("zipf", "parts") for a in ALPHAS]
+_ACC_SQL = f"WITH zipf AS (SELECT i::BIGINT AS item, 1000.0::DOUBLE / (i + 1) AS cnt FROM range(500) r(i)), parts AS (SELECT l_partkey AS item, count(*)::DOUBLE AS cnt FROM lineitem GROUP BY 1), "
+_ACC_SQL += ", ".join(f"x{t} AS (SELECT j, sum(cnt * {_stable_sql(a)}) AS x FROM {n}, range({PROJ}) r(j) GROUP BY 1), f{t} AS (SELECT sum(pow(cnt, {a!r})) AS f FROM {n})" for t, (n, a) in enumerate(_ACC))
+_ACC_SQL += " " + " UNION ALL ".join(f"SELECT '{n}' AS counts, {a!r}::DOUBLE AS alpha, '{method}' AS method, round(({sql}) / any_value(f), 6) AS ratio FROM x{t}, f{t}" for t, (n, a) in enumerate(_ACC) for method, sql in _estimates_sql(a).items())
+
+
+@query(_ACC_SQL)
 def moment_accuracy(spark, d):
-    """Relative errors of all estimators over a grid of alpha, for a skewed and a real distribution of counts."""
+    """Estimates by their true values, of all estimators over a grid of alpha, for a skewed and a real distribution of counts."""
     out = None
     for name, counts in (("zipf", Mo.test_counts(spark, 500, "zipf")), ("parts", _counts(spark, d))):
-        rows = Mo.accuracy(counts, [0.5, 0.9, 0.99], PROJ).select(F.lit(name).alias("counts"), "*")
+        rows = Mo.accuracy(counts, list(ALPHAS), PROJ).select(F.lit(name).alias("counts"), "alpha", "method", F.round(F.col("estimate") / F.col("exact"), 6).alias("ratio"))
         out = rows if out is None else out.unionByName(rows)
     return out

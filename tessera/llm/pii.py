@@ -164,7 +164,7 @@ def learned(instances: DataFrame, size: int, rounds: int = ROUNDS, min_seeds: in
 
 
 def extract(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned) of every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned, n_spans) of every row.
 
     Base spans are those of ``PATTERNS`` whose check holds, each kind on its own. The bootstrapping adds
     identifier-like strings (``CANDIDATE``, ``RUN``) outside all base spans, of a kind's shape, in a context that a learned pattern
@@ -214,7 +214,7 @@ def extract(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     return out.select(
         "doc_id", *(F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("_all")).alias("spans"),
-        F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_learned"),
+        F.greatest(F.coalesce(F.size("new"), F.lit(0)), F.lit(0)).cast("long").alias("n_learned"), F.size("_all").cast("long").alias("n_spans"),
     )
 
 

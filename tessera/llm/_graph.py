@@ -67,7 +67,7 @@ def components(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int =
     least. ``rows``: about how many edges, if known, for the files they are put in. A hub's edges stay spread: its least neighbour is a partial aggregate, joined back under adaptive skew handling.
     """
     now = edges.where(F.col("u") != F.col("v")).select("u", "v")
-    now = stored(now) if rows is None else few_files(now, rows, deal=True)
+    now = stored(now) if rows is None else few_files(now, rows)
     parts = math.ceil(now.count() / part_edges)
     if parts <= 1:
         out = stored(_contracted(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("label")))

@@ -57,13 +57,13 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
-def few_files(df: DataFrame, rows: int, deal: bool = False) -> DataFrame:
+def few_files(df: DataFrame, rows: int) -> DataFrame:
     """Store a table of about ``rows`` short rows in files of ``FILE_ROWS``, however many shuffle partitions there are.
 
-    ``deal``: the rows are costly to make, so they are made in all partitions and dealt to the files by a shuffle.
+    The rows are made in all partitions and dealt to the files by a shuffle, so no task has more to make for it.
     """
     parts = max(1, -(-rows // FILE_ROWS))
-    return stored((df.repartition(parts) if deal else df).coalesce(parts))
+    return stored(df.repartition(parts).coalesce(parts))
 
 
 def discard(*tables: DataFrame) -> None:

@@ -539,7 +539,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = _text.
     classes = stored(alive.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "x.n", "x.tokens", "x.dfs"))  # numbers are fixed once stored
     count = classes.count()
     first = _first_pairs(classes.withColumn("label", F.col("node")), buckets, percent, max(1, min(count // HOT_ROWS, HOT_ROWS)))
-    star = few_files(verified(first, classes, percent, True), count, deal=True)
+    star = few_files(verified(first, classes, percent, True), count)
     labels = components(star, rows=count)
     relabelled = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(relabelled, count, buckets, percent), classes, percent, False)

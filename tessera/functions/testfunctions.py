@@ -18,9 +18,15 @@ def branin(x: Column) -> Column:
     return t * t + 10 * (1 - 1 / (8 * math.pi)) * F.cos(a) + 10
 
 
+def _floor(v: Column) -> Column:
+    """In doubles; Spark's floor is a long, which has no NaN and ends at 2^63."""
+    return F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)
+
+
 def staircase(x: Column, stairs: int = 5) -> Column:
-    """Sum of squares of coordinates cut down to steps of 1/stairs."""
-    return total(F.transform(x, lambda v: F.pow(F.floor(v * stairs) / stairs, 2)))
+    """Sum of squares of coordinates cut down to steps of 1/stairs; null coordinates count as absent, and null if there are none."""
+    there = F.filter(x, lambda v: v.isNotNull())
+    return F.when(F.size(there) > 0, total(F.transform(there, lambda v: F.pow(_floor(v * stairs) / stairs, 2))))
 
 
 def michalewicz(x: Column, m: int = 10) -> Column:

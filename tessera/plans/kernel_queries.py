@@ -89,8 +89,9 @@ def bench_functions(spark, d):
 
 @query(_E + " SELECT i, round(y, 6) AS y FROM (SELECT i, list_sum(list_transform(x, lambda v: pow(floor(v * 5) / 5, 2))) AS y FROM e) ORDER BY y, i LIMIT 1")
 def best_observation(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), Tf.staircase(F.col("embedding").cast("array<double>")).alias("y"))
-    return e.agg(F.min(F.struct("y", "i")).alias("m")).select("m.i", F.round("m.y", 6).alias("y"))
+    y = F.round(Tf.staircase(F.col("embedding").cast("array<double>")), 6)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), y.alias("y"))
+    return e.orderBy(F.asc_nulls_last("y"), F.asc_nulls_last("i")).limit(1)  # by the rounded value, as the SQL's alias y
 
 
 @query("WITH x AS (SELECT vec_id AS i, list_transform(embedding, lambda e: e::DOUBLE) AS row FROM embeddings) SELECT round(quantile_cont(list_distance(a.row, b.row), 0.5), 5) AS length FROM x a JOIN x b ON a.i < b.i")

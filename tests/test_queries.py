@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import os
 
@@ -48,3 +50,31 @@ def test_rows_only(spark, sf, name):
 
 def test_flagship(spark, sf):
     assert catalog.QUERIES[catalog.FLAGSHIP](spark, sf).count() > 0
+
+
+def same_as_sql(spark, path, name, rows, schema="vec_id long, embedding array<float>"):
+    """The query's rows and its SQL's on a small table of embeddings."""
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    got, want = catalog.QUERIES[name](spark, str(path)).toPandas(), c.sql(catalog.SQL[name]).df()
+    assert canon(got[sorted(got.columns)]) == canon(want[sorted(want.columns)])
+    return want
+
+
+def test_best_observation_ties(spark, tmp_path):
+    a = [0.25, 0.45, 0.65, 1.05, 1.25]
+    value = lambda x: functools.reduce(lambda s, v: s + (math.floor(v * 5) / 5) ** 2, x, 0.0)
+    second, *_, first = sorted(itertools.permutations(a), key=value)  # one value when rounded; the second row's is less by the last bits
+    assert value(second) < value(first) and round(value(second), 6) == round(value(first), 6)
+    assert len(same_as_sql(spark, tmp_path / "ties", "best_observation", [(9, list(second)), (3, list(first)), (5, [3.0] * 5)])) == 1
+
+
+def test_best_observation_odd_rows(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    odd = [(1, None), (2, []), (3, [nan, 0.0]), (4, [inf, 0.0]), (5, [None, None]), (6, [1e30, 0.0])]
+    same_as_sql(spark, tmp_path / "odd", "best_observation", [*odd, (8, [None, 0.5]), (9, [0.3, 0.5])])
+    same_as_sql(spark, tmp_path / "no_value", "best_observation", [odd[4], odd[1], odd[0]])
+    same_as_sql(spark, tmp_path / "not_a_number", "best_observation", [odd[0], odd[2], odd[3]])
+    same_as_sql(spark, tmp_path / "large", "best_observation", [odd[5], (7, [1e25, 0.0])])
+    assert not len(same_as_sql(spark, tmp_path / "empty", "best_observation", []))

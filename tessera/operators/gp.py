@@ -236,8 +236,8 @@ def latin_hypercube(spark: SparkSession, n: int, bounds: list[tuple[float, float
 
 
 def length_scale(points: DataFrame) -> DataFrame:
-    """(length): the median distance of all pairs."""
-    return linalg.pairwise(points).agg(F.expr("percentile(d0, 0.5)").alias("length"))
+    """(length): the median distance of all pairs; null if there are none."""
+    return points.sparkSession.createDataFrame([(linalg.pair_quantile(points),)], "length double")
 
 
 @dataclass

@@ -96,9 +96,8 @@ def best_observation(spark, d):
 
 @query("WITH x AS (SELECT vec_id AS i, list_transform(embedding, lambda e: e::DOUBLE) AS row FROM embeddings) SELECT round(quantile_cont(list_distance(a.row, b.row), 0.5), 5) AS length FROM x a JOIN x b ON a.i < b.i")
 def length_scale_median(spark, d):
-    from tessera.operators import linalg
-
-    return G.length_scale(linalg.to_rows(table(spark, d, "embeddings"), "vec_id", "embedding")).select(F.round("length", 5).alias("length"))
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("row"))
+    return G.length_scale(points).select(F.round("length", 5).alias("length"))
 
 
 _NAME = "concat('0_', d::VARCHAR, '_', i::VARCHAR)"

@@ -112,3 +112,39 @@ def test_distance_preservation_blocks(spark, tmp_path):
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_distance_preservation_few_rows(spark, tmp_path, n):
     same_as_sql(spark, tmp_path / "few", "distance_preservation", keyed(vectors(n)))
+
+
+def test_length_scale_keeps_pairs_in_tasks(spark, sf, duck, monkeypatch):
+    monkeypatch.setattr(linalg, "pairwise", no_pair_tables)
+    test_same_rows(spark, sf, duck, "length_scale_median")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4])
+def test_length_scale_few_rows(spark, tmp_path, n):
+    same_as_sql(spark, tmp_path / "few", "length_scale_median", [*keyed(vectors(n)), (20, None), (None, [0.0] * 64)])
+
+
+def test_length_scale_odd_vectors(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    far = (vectors(5, 3) + np.float32(4e6)).tolist()  # their product cancels
+    same_as_sql(spark, tmp_path / "far", "length_scale_median", list(enumerate(far)))
+    same_as_sql(spark, tmp_path / "inf", "length_scale_median", list(enumerate([[1.0, inf], [2.0, 0.0], [3.0, 1.0], [4.0, inf]])))
+    same_as_sql(spark, tmp_path / "nan", "length_scale_median", list(enumerate([[1.0, nan], [2.0, 0.0], [3.0, 1.0], [4.0, 9.0]])))
+
+
+def test_length_scale_copies(spark, tmp_path, monkeypatch):
+    """The two middle distances are 0 and 5, far apart; three equal rows and one apart give three of each."""
+    monkeypatch.setattr(linalg, "LISTED", 2)  # bins of more are narrowed down to single values
+    want = same_as_sql(spark, tmp_path / "copies", "length_scale_median", list(enumerate([[0.0, 0.0]] * 3 + [[3.0, 4.0]])))
+    assert want["length"].tolist() == [2.5]
+
+
+def test_pair_quantile_passes(spark, monkeypatch):
+    """Many blocks, tiles and passes against numpy, to the last bits."""
+    monkeypatch.setattr(linalg, "LISTED", 50)
+    x = vectors(1300, 8)
+    rows = spark.createDataFrame(keyed(x), "i long, row array<float>")
+    a, b = np.triu_indices(len(x), 1)
+    d = np.linalg.norm(x.astype(float)[a] - x.astype(float)[b], axis=1)
+    for q in (0.0, 0.3, 0.5, 1.0):
+        assert linalg.pair_quantile(rows, q) == pytest.approx(np.quantile(d, q), rel=1e-10)
